@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .packing import op3_packing
 from .token_files import op9_token_files
 
-QUERIES = {"op9_token_files": op9_token_files}
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
+    "op9_token_files": op9_token_files,
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
