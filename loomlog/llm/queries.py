@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .packing import op3_packing
+from .pii import op6_pii
 from .token_files import op9_token_files
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op6_pii": op6_pii,
     "op9_token_files": op9_token_files,
 }
 
