@@ -202,7 +202,8 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     common.prepare(manifest.sparkSession)
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.select("file", F.coalesce(F.sum("tokens").over(order), F.lit(0)).alias("base"))
-    return placed.repartition("file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(1, min(manifest.count(), 4 * manifest.sparkSession.sparkContext.defaultParallelism))
+    return placed.repartition(tasks, "file").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(manifest: DataFrame, doc_ids: set) -> dict:

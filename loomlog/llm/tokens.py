@@ -45,7 +45,7 @@ class _Pieces(dict):
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
