@@ -10,22 +10,39 @@ case); tests hold the outcome against the library's on whole texts.
 
 from __future__ import annotations
 
+import array
 import json
-
-import numpy as np
+import sys
 
 #: Without the apostrophe, which the pattern joins to letters.
 _PUNCTUATION = '!"#$%&()*+,-./:;=?@[\\]^_`{}~|'
 
 
+def _byte_letters() -> list[str]:
+    """The letter that byte-level BPE writes for each byte: printable ones stand for
+    themselves, the others follow after 255 in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class _Pieces(dict):
     def __init__(self, tokenizer, most: int):
         super().__init__()
         self.tokenizer, self.most = tokenizer, most
+        self.model, self.letters = tokenizer.model, _byte_letters()
         self.special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
 
     def _encode(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if piece.isalpha() and max(piece) <= "\xff":
+            # one run of letters, no composition: the model alone does what the library would
+            word = piece.lower()
+            if not word.isascii():
+                word = "".join(self.letters[b] for b in word.encode())
+            ids = [x.id for x in self.model.tokenize(word)]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return _packed(ids)
 
     def __missing__(self, piece: str) -> bytes:
         ids = None
@@ -42,6 +59,13 @@ class _Pieces(dict):
         return ids
 
 
+def _packed(ids: list[int]) -> bytes:
+    held = array.array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit bytes."""
 
@@ -57,7 +81,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         if not self.split:
-            return self.pieces._encode(text)
+            return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 
@@ -65,7 +89,7 @@ def _splits_at_spaces(spec: dict) -> bool:
     """Whether the file describes a tokenizer for which the cache holds: white
     space removed by a split on runs, lower case, no prefix space."""
     text = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
-    return '"Lowercase"' in text and '"Removed"' in text and '"add_prefix_space": false' in text
+    return '"ByteLevel"' in text and '"Lowercase"' in text and '"Removed"' in text and '"add_prefix_space": false' in text
 
 
 _encoders: dict[str, Encoder] = {}
