@@ -71,7 +71,7 @@ def matches(docs: DataFrame, patterns: dict[str, str], when: dict[str, str]) ->
         gaps = F.split("text", pattern, -1)
         rows = F.zip_with(gaps, found, lambda gap, match: F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("gap"), F.right(gap, F.lit(80)).alias("left"), match.alias("match")))
         parts.append(F.when(F.col("text").rlike(when[kind]), rows))
-    rows = held.select("rid", F.explode(F.array(*parts)).alias("rows")).select("rid", F.posexplode("rows").alias("i", "x")).select("rid", "i", "x.*").where(F.col("match").isNotNull())
+    rows = held.select("rid", F.explode_outer(F.array(*parts)).alias("rows")).select("rid", F.posexplode_outer("rows").alias("i", "x")).select("rid", "i", "x.*").where(F.col("match").isNotNull())
     order = Window.partitionBy("rid", "kind").orderBy("i")
     before = F.sum(F.col("gap") + F.length("match")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     words = F.split(F.trim(F.regexp_replace(F.lower("left"), r"[^\p{L}\p{N}=:#]+", " ")), " ")
@@ -99,13 +99,17 @@ def _occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     return pairs.groupBy("context").agg(F.count("*").alias("total")).join(known, "context")
 
 
-def bootstrap(docs: DataFrame, base: DataFrame, rounds: int = 3, support: int = 3, threshold: float = 0.8) -> DataFrame:
-    """rid, start, end of identifiers that the base spans' contexts lead to."""
+def bootstrap(docs: DataFrame, base: DataFrame, rounds: int = 3, support: int = 3, share: float = 1 / 2000, threshold: float = 0.8) -> DataFrame:
+    """rid, start, end of identifiers that the base spans' contexts lead to.
+
+    A pattern needs ``support`` distinct values, and that ``share`` of all seeds, so
+    that the number of patterns doesn't grow with the corpus."""
+    support = max(support, int(share * base.select("match").distinct().count()))
     candidates = _apart(base, matches(docs, {"id": CANDIDATE}, {"id": r"[A-Za-z0-9_-]{4}[0-9]|[0-9][A-Za-z0-9_-]{4}|[A-Za-z_-][0-9]"}))
     graph = common.materialise(
         base.withColumn("seed", F.lit(True)).unionByName(candidates.withColumn("seed", F.lit(False))).where("context is not null"), "pii-graph"
     )
-    frequent = graph.groupBy("context").agg(F.countDistinct("match").alias("values"), F.max((~F.col("seed")).cast("int")).alias("leads")).where(f"values > {support} and leads = 1")
+    frequent = graph.groupBy("context").agg(F.countDistinct("match").alias("values"), F.max((~F.col("seed")).cast("int")).alias("leads")).where(f"values >= {support} and leads = 1")
     frequent = common.materialise(frequent.select("context"), "pii-contexts")
     if not frequent.take(1):
         return graph.where("false").select("rid", "start", "end")
