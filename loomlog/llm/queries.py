@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .decontaminate import op5_decontaminate
 from .packing import op3_packing
 from .pii import op6_pii
+from .quality import op7_quality
 from .token_files import op9_token_files
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op5_decontaminate": op5_decontaminate,
     "op6_pii": op6_pii,
+    "op7_quality": op7_quality,
     "op9_token_files": op9_token_files,
 }
 
