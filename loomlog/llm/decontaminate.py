@@ -1,7 +1,7 @@
 """Operator 5: benchmark decontamination by template canonicalisation.
 
 Texts become words in lower case in which numbers, units after numbers and names
-(capitalised words inside a sentence) are replaced by typed placeholders. Windows of
+(words inside a sentence with a capital first letter alone) are replaced by typed placeholders. Windows of
 ``WINDOW`` such words of the benchmark are hash-joined with those of all documents;
 windows of placeholders mainly are no anchors. A document holds an item if it has at
 least ``COVERAGE`` of the item's windows and its slots are consistent: where the
@@ -54,7 +54,7 @@ def _tokens(df: DataFrame) -> DataFrame:
             F.when(token.isin(*_END), F.lit(""))
             .when(token < ":", F.lit(NUMBER))
             .when((last >= "0") & (last < ":") & low.isin(*UNITS), F.lit(UNIT))
-            .when((low != token) & ~last.isin(*_END), F.lit(NAME))
+            .when((low != token) & ~last.isin(*_END) & (F.length(token) > 1) & (F.substring(token, 2, 99) == F.substring(low, 2, 99)), F.lit(NAME))
             .otherwise(low)
         )
 
