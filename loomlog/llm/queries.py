@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .decontaminate import op5_decontaminate
+from .near_dedup import op4_ngram_jaccard
 from .packing import op3_packing
 from .pii import op6_pii
 from .quality import op7_quality
@@ -12,6 +13,7 @@ from .token_files import op9_token_files
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_decontaminate": op5_decontaminate,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
