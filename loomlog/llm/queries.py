@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chunk_dedup import op10_chunk_dedup
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .decontaminate import op5_decontaminate
 from .near_dedup import op4_ngram_jaccard
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
     "op9_token_files": op9_token_files,
+    "op10_chunk_dedup": op10_chunk_dedup,
 }
 
 ORACLES: dict[str, str] = {"op2_exact_dedup": OP2_SQL}
