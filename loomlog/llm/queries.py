@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chunk_dedup import op10_chunk_dedup
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .decontaminate import op5_decontaminate
+from .licenses import op8_license_scan
 from .near_dedup import op4_ngram_jaccard
 from .packing import op3_packing
 from .pii import op6_pii
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_pii": op6_pii,
     "op7_quality": op7_quality,
+    "op8_license_scan": op8_license_scan,
     "op9_token_files": op9_token_files,
     "op10_chunk_dedup": op10_chunk_dedup,
 }
