@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chunk_dedup import op10_chunk_dedup
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .decontaminate import op5_decontaminate
+from .html_extract import op1_html_extract
 from .licenses import op8_license_scan
 from .near_dedup import op4_ngram_jaccard
 from .packing import op3_packing
@@ -13,6 +14,7 @@ from .quality import op7_quality
 from .token_files import op9_token_files
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_ngram_jaccard": op4_ngram_jaccard,
