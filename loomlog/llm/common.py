@@ -14,9 +14,13 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+#: The column that numbers rows of tables whose own columns pass through.
+RID = "__loomlog_rid"
+
 #: Bytes up to which a table may be broadcast; larger ones take the other way.
 BROADCAST_BYTES = 32 << 20
 
@@ -69,7 +73,7 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
-def with_row_id(df: DataFrame, name: str = "_rid") -> DataFrame:
+def with_row_id(df: DataFrame, name: str = RID) -> DataFrame:
     """Number the rows. ``df`` must be a plain read of files, as then every
     evaluation deals the same rows to the same splits and numbers them alike."""
     return df.withColumn(name, F.monotonically_increasing_id())
@@ -96,3 +100,17 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int)
         rows.join(F.broadcast(hot), key)
         .unionByName(rows.join(names, key, "left_anti").join(groups.where(F.col(size) <= limit), key))
     )
+
+
+def but_for(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of df whose number isn't in ids (one column, RID); all columns as they were."""
+    return with_row_id(df).join(ids, RID, "left_anti").select(*quoted(df.columns))
+
+
+def quoted(columns: list[str]) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def extended(schema: T.StructType, **more: T.DataType) -> T.StructType:
+    """schema, without promises on nulls, and further fields."""
+    return T.StructType([T.StructField(f.name, f.dataType) for f in schema] + [T.StructField(k, v) for k, v in more.items()])

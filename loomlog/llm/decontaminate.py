@@ -132,8 +132,8 @@ def _any_short(benchmark: DataFrame) -> bool:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, all columns as they were."""
     rows = common.with_row_id(docs, "rid").select("rid", common.text_of().alias("text"))
-    bad = common.materialise(contaminated(rows, benchmark).select(F.col("rid").alias("_rid")).distinct(), "contaminated")
-    return common.with_row_id(docs).join(bad, "_rid", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    bad = common.materialise(contaminated(rows, benchmark).select(F.col("rid").alias(common.RID)).distinct(), "contaminated")
+    return common.but_for(docs, bad)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,7 @@ the largest doc_id stays, of rows with that doc_id the last in file order.
 
 Null texts count as empty, so they equal each other and the empty text; a null
 doc_id is smaller than any other; an empty table gives an empty result; further
-columns, of any name but the operator's own (``_rid`` and those that begin with
-``_dedup``), pass through.
+columns pass through; names that begin with two underscores are the operator's.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bloom, common
 
@@ -38,7 +38,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """_rid, doc_id, sha of every row, written down."""
     common.prepare(docs.sparkSession)
     return common.materialise(
-        common.with_row_id(docs).select("_rid", F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(_fingerprint, "_rid long, doc_id long, sha binary"),
+        common.with_row_id(docs, "_rid").select("_rid", F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(_fingerprint, "_rid long, doc_id long, sha binary"),
         "fingerprints",
     )
 
@@ -77,36 +77,31 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 
     Only rows that may be repeated are shuffled with their texts."""
     spark = docs.sparkSession
-    columns = docs.columns
     prints = fingerprints(docs)
     bits = spark.sparkContext.broadcast(repeated_filter(prints))
     keyed = prints.withColumn("key", _key_column())
     again = common.materialise(keyed.mapInArrow(lambda x: _probe(x, bits), "_rid long, doc_id long, sha binary, key long, maybe boolean").where("maybe").select("_rid", "doc_id", "sha"), "repeated")
     top = again.groupBy("sha").agg(F.max(F.struct("doc_id", "_rid")).alias("top"), F.count("*").alias("n"))
-    stays = top.select(F.col("top._rid").alias("_rid"))
+    stays = top.select(F.col("top._rid").alias(common.RID))
     # A row's own digest decides whether it passes: the same test as above, over whole rows.
-    whole = common.with_row_id(docs).withColumn("_dedup_text", common.text_of())
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", `_rid` long, `_dedup_maybe` boolean"
-    tagged = whole.mapInArrow(_key_rows(bits), fields)
-    return tagged.where("not _dedup_maybe").select(*_quoted(columns)).unionByName(tagged.where("_dedup_maybe").join(stays, "_rid", "left_semi").select(*_quoted(columns)))
-
-
-def _quoted(columns):
-    return [F.col(f"`{c}`") for c in columns]
+    whole = common.with_row_id(docs).withColumn("__dedup_text", common.text_of())
+    tagged = whole.mapInArrow(_key_rows(bits), common.extended(docs.schema, **{common.RID: T.LongType(), "__dedup_maybe": T.BooleanType()}))
+    same = common.quoted(docs.columns)
+    return tagged.where("not __dedup_maybe").select(*same).unionByName(tagged.where("__dedup_maybe").join(stays, common.RID, "left_semi").select(*same))
 
 
 def _key_rows(bits):
-    """Rows with ``_dedup_maybe``; the key is Spark's xxHash64 (seed 42) of the digest."""
+    """Rows with ``__dedup_maybe``; the key is Spark's xxHash64 (seed 42) of the digest."""
 
     def run(batches):
         import xxhash
 
         bitmap = np.frombuffer(bits.value, np.uint8)
         for b in batches:
-            at = b.schema.get_field_index("_dedup_text")
+            at = b.schema.get_field_index("__dedup_text")
             keys = np.array([xxhash.xxh64_intdigest(x, 42) for x in _digests(b.column(at))], np.uint64)
             rest = [k for k in range(b.num_columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(bloom.test(bitmap, keys))], names=[*(b.schema.names[k] for k in rest), "_dedup_maybe"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(bloom.test(bitmap, keys))], names=[*(b.schema.names[k] for k in rest), "__dedup_maybe"])
 
     return run
 

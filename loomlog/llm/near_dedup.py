@@ -190,8 +190,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row of each class, all columns as they were."""
-    gone = common.materialise(links(_rows(docs)).where("not kept").select(F.col("rid").alias("_rid")), "gone")
-    return common.with_row_id(docs).join(gone, "_rid", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    gone = common.materialise(links(_rows(docs)).where("not kept").select(F.col("rid").alias(common.RID)), "gone")
+    return common.but_for(docs, gone)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

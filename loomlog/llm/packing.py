@@ -28,7 +28,7 @@ from collections.abc import Mapping
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, tokens
@@ -59,31 +59,35 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
 
 def _before(df: DataFrame, block: list, order: list, value: str, within: list, out: str) -> DataFrame:
-    """``out``: the sum of ``value`` before each row, by ``block`` then ``order``;
-    separately for each value of ``within``. Blocks' totals are summed apart."""
+    """``out``: the sum of ``value`` before each row, by ``block`` then ``order``, and
+    ``whole``: the sum of all; separately for each value of ``within``. Blocks' totals
+    are summed apart."""
     upto = (Window.unboundedPreceding, -1)
     totals = df.groupBy(*within, *block).agg(F.sum(value).alias("_total"))
-    bases = totals.select(*within, *block, F.coalesce(F.sum("_total").over(Window.partitionBy(*within).orderBy(*block).rowsBetween(*upto)), F.lit(0)).alias("_base"))
+    bases = totals.select(*within, *block, F.coalesce(F.sum("_total").over(Window.partitionBy(*within).orderBy(*block).rowsBetween(*upto)), F.lit(0)).alias("_base"), F.sum("_total").over(Window.partitionBy(*within)).alias("whole"))
     inner = df.withColumn("_inner", F.coalesce(F.sum(value).over(Window.partitionBy(*within, *block).orderBy(*order).rowsBetween(*upto)), F.lit(0)))
     return inner.join(bases, [*within, *block]).withColumn(out, F.col("_base") + F.col("_inner")).drop("_base", "_inner")
 
 
+def _share(targets: Mapping[str, float] | None) -> Column:
+    """A queue's share: as targets say (nearly none for others), else all its tokens."""
+    if targets is None:
+        return F.col("whole").cast("double")
+    given = F.lit(1e-6)
+    for queue, share in targets.items():
+        given = F.when((F.col("queue") == queue) & F.lit(share > 0), F.lit(float(share))).otherwise(given)
+    return given
+
+
 def plan(encoded: DataFrame, length: int = LENGTH, window_sequences: int = 64, targets: Mapping[str, float] | None = None) -> DataFrame:
     """rid, start, length, sequence_id, offset, window of every piece."""
     lens = encoded.select("rid", F.coalesce("source", F.lit("\0null")).alias("queue"), "n", F.shiftright("rid", 33).alias("split"))
     placed = _before(lens, ["split"], ["rid"], "n", ["queue"], "at")
-    totals = lens.groupBy("queue").agg(F.sum("n").alias("tokens"))
-    if targets is None:
-        share = F.col("tokens").cast("double")
-    else:
-        given = F.create_map(*(F.lit(x) for kv in targets.items() for x in kv)) if targets else F.lit(None).cast("map<string,double>")
-        share = F.coalesce(given[F.col("queue")].cast("double"), F.lit(0.0))
-        share = F.when(share > 0, share).otherwise(F.lit(1e-6))
-    shares = totals.select("queue", share.alias("share"))
-    whole = shares.agg(F.sum("share").alias("whole"))
-    quanta = shares.crossJoin(F.broadcast(whole)).select("queue", (F.col("share") / F.col("whole") * float(length * window_sequences)).alias("quantum"))
+    share = _share(targets)
+    whole = lens.groupBy("queue").agg(F.sum("n").alias("whole")).agg(F.sum(share)).first()[0] or 1.0
+    quantum = share / whole * float(length * window_sequences)
     packets = (
-        placed.join(quanta, "queue")
+        placed.withColumn("quantum", quantum)
         .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {length}"))))
         .withColumn("start", F.col("k") * length)
         .withColumn("size", F.least(F.lit(length).cast("long"), F.col("n") - F.col("start")))

@@ -29,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
+SCORE = "__quality_score"
 
 FEATURES = (
     "log_chars", "log_words", "word_chars", "long_words", "distinct_words", "top_word", "repeats_next",
@@ -225,19 +227,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _score(batches, model):
     for b in batches:
-        rows = np.array([features(x or "") for x in b.column(b.schema.get_field_index("_quality_text")).to_pylist()], float).reshape(-1, len(FEATURES))
-        at = b.schema.get_field_index("_quality_text")
+        rows = np.array([features(x or "") for x in b.column(b.schema.get_field_index("__quality_text")).to_pylist()], float).reshape(-1, len(FEATURES))
+        at = b.schema.get_field_index("__quality_text")
         rest = [k for k in range(b.num_columns) if k != at]
-        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(model.value.score(rows), pa.float64())], names=[*(b.schema.names[k] for k in rest), "_quality_score"])
+        yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(model.value.score(rows), pa.float64())], names=[*(b.schema.names[k] for k in rest), SCORE])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with ``_quality_score``; no shuffle."""
+    """docs with the column SCORE; no shuffle."""
     spark = docs.sparkSession
     common.prepare(spark)
     sent = spark.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", `_quality_score` double"
-    return docs.withColumn("_quality_text", common.text_of()).mapInArrow(lambda x: _score(x, sent), schema)
+    schema = common.extended(docs.schema, **{SCORE: T.DoubleType()})
+    return docs.withColumn("__quality_text", common.text_of()).mapInArrow(lambda x: _score(x, sent), schema)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs with a score of THRESHOLD or more, all columns as they were."""
+    return scored(docs, train(docs, labels)).where(F.col(SCORE) >= THRESHOLD).select(*common.quoted(docs.columns))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,4 +252,4 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = train(docs, common.table(spark, sf_dir, "labels"))
     rows = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return rows.select("doc_id", held_out().alias("held_out"), F.col("_quality_score").alias("score"), (F.col("_quality_score") >= THRESHOLD).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out().alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= THRESHOLD).cast("int").alias("predicted"))
