@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import queries, streams
+
+QUERIES: dict = queries.QUERIES | streams.QUERIES
+ORACLES: dict[str, str] = queries.ORACLES | streams.ORACLES
