@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import bloom, common
+from . import bloom, caches, common
 
 MEAN, LONGEST, WORDS = 24, 1024, 22
 #: Bytes that a cut depends on: the gear hash has as many bits, and each byte shifts it by one.
@@ -73,12 +73,14 @@ def _raw(column) -> list[bytes]:
 
 
 def _digests(batches):
+    caches.only()
     for b in batches:
         found = [chunks(x)[1] for x in _raw(b.column(0))]
         yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(found) if found else np.empty(0, np.uint64)).view(np.int64))], names=["digest"])
 
 
 def _suspects(batches, bits):
+    caches.only()
     bitmap = np.frombuffer(bits.value, np.uint8)
     for b in batches:
         rid, doc_id, at, digest, start, end, words = [], [], [], [], [], [], []
@@ -121,15 +123,19 @@ def repeated(rows: DataFrame, least_words: int = WORDS) -> DataFrame:
     known = common.attach(held, common.materialise(groups, "digests"), "digest", "n", held.count())
     first = (F.col("first.rid") == F.col("rid")) & (F.col("first.at") == F.col("at"))
     known = known.select("rid", "doc_id", "at", "start", "end", "words", F.col("first.doc_id").alias("first_doc_id"), first.alias("is_first"))
-    # runs of neighbours that agree on being first
-    run = F.col("at") - F.row_number().over(Window.partitionBy("rid", "is_first").orderBy("at"))
+    # short chunks may be first elsewhere than their neighbours, so a run's longer part says what it is
+    run = F.col("at") - F.row_number().over(Window.partitionBy("rid").orderBy("at"))
+    length = F.col("end") - F.col("start")
     return (
         known.withColumn("run", run)
-        .groupBy("rid", "doc_id", "is_first", "run")
-        .agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"))
+        .groupBy("rid", "doc_id", "run")
+        .agg(
+            F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").alias("n_words"),
+            F.max_by("first_doc_id", F.struct(length, "at")).alias("first_doc_id"), (2 * F.sum(F.when(F.col("is_first"), length).otherwise(0)) > F.sum(length)).alias("is_first"),
+        )
         .where(F.col("n_words") >= least_words)
         .drop("run")
-    )
+    )
 
 
 def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

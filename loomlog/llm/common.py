@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 #: The column that numbers rows of tables whose own columns pass through.
 RID = "__loomlog_rid"
 
+#: Bytes of texts that a Python worker is given at once.
+BATCH_BYTES = "4194304b"
+
 #: Bytes up to which a table may be broadcast; larger ones take the other way.
 BROADCAST_BYTES = 32 << 20
 
@@ -33,6 +38,9 @@ def prepare(spark: SparkSession) -> None:
     On a cluster without one, ship the package with ``--py-files`` instead.
     """
     env = spark.sparkContext.environment
+    # Python workers hold a batch or two at once
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) != BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
@@ -79,7 +87,7 @@ def with_row_id(df: DataFrame, name: str = RID) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def hot_limit(n_rows: int, tables: int = 4096, least: int = 10_000) -> int:
+def hot_limit(n_rows: int, tables: int = 4096, least: int = 1_000) -> int:
     """A key with more rows than this is hot. At most ``tables`` keys can be, so
     a table with one row for each hot key is small by proof."""
     return max(least, -(-n_rows // tables))
@@ -102,6 +110,13 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int)
     )
 
 
+def renamed(docs: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f of docs, which must keep the columns, while names that functions in Python
+    can't be given (with dots and the like) are others."""
+    plain = [c if re.fullmatch(r"\w+", c) else f"__c{k}" for k, c in enumerate(docs.columns)]
+    return f(docs.toDF(*plain)).toDF(*docs.columns)
+
+
 def but_for(df: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of df whose number isn't in ids (one column, RID); all columns as they were."""
     return with_row_id(df).join(ids, RID, "left_anti").select(*quoted(df.columns))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import bloom, common
+from . import bloom, caches, common
 
 
 def _digests(column) -> list[bytes]:
@@ -30,6 +30,7 @@ def _digests(column) -> list[bytes]:
 
 
 def _fingerprint(batches):
+    caches.only()
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(_digests(b.column(2)), pa.binary())], names=["_rid", "doc_id", "sha"])
 
@@ -76,6 +77,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns as they were.
 
     Only rows that may be repeated are shuffled with their texts."""
+    return common.renamed(docs, _deduped)
+
+
+def _deduped(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prints = fingerprints(docs)
     bits = spark.sparkContext.broadcast(repeated_filter(prints))

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import caches, common
 
 #: Share of a host's pages that a template token stands on, and that repeat a template text.
 SUPPORT, CONSTANT, LEAST_PAGES = 0.3, 0.9, 5
@@ -148,6 +148,7 @@ def _close(stack: list, names: tuple[str, ...]) -> None:
 
 
 _nodes: dict[tuple, tuple[str, str, bool, bool]] = {}
+caches.register("nodes", _nodes.clear)
 
 
 def _node(parent: tuple, name: str, attributes: str) -> tuple[str, str, bool, bool]:
@@ -192,6 +193,7 @@ TOKEN = "host string, token long, path string, parent long, pages long, vector l
 
 def _tokens(batches):
     """A partial sum for each host and token: pages, the vector's hash, text held."""
+    caches.only("nodes")
     for b in batches:
         sums: dict[tuple[str, int], list] = {}
         for host, page_id, html in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):

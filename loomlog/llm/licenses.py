@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, shingles
+from . import caches, common, shingles
 
 CONTAINMENT = 0.8
 PERMUTATIONS = 48
@@ -127,6 +127,7 @@ _scanner: list[Scanner] = []
 
 
 def _scan(batches):
+    caches.only("shingles")
     if not _scanner:
         _scanner.append(Scanner())
     for b in batches:

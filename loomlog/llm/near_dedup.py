@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, shingles
+from . import caches, common, shingles
 from .components import components
 
 THRESHOLD = 0.8
@@ -41,6 +41,7 @@ WIDE = 8192
 
 
 def _sign(batches):
+    caches.only("shingles")
     sign = shingles.MinHash(THRESHOLD)
     for b in batches:
         out: dict[str, list] = {x: [] for x in ("set", "bands")}
@@ -114,6 +115,7 @@ def _verify_group(rows: list[dict]):
 
 def _verify(batches):
     """Rows come sorted by group and pair of blocks."""
+    caches.only("shingles")
 
     def rows():
         for b in batches:

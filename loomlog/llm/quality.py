@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import caches, common
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -199,6 +199,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse: int = 8, rounds: i
 
 
 def _vectors(batches):
+    caches.only()
     for b in batches:
         rows = [features(x or "") for x in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
@@ -226,6 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _score(batches, model):
+    caches.only()
     for b in batches:
         rows = np.array([features(x or "") for x in b.column(b.schema.get_field_index("__quality_text")).to_pylist()], float).reshape(-1, len(FEATURES))
         at = b.schema.get_field_index("__quality_text")
@@ -244,7 +246,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs with a score of THRESHOLD or more, all columns as they were."""
-    return scored(docs, train(docs, labels)).where(F.col(SCORE) >= THRESHOLD).select(*common.quoted(docs.columns))
+    model = train(docs, labels)
+    return common.renamed(docs, lambda df: scored(df, model).where(F.col(SCORE) >= THRESHOLD).drop(SCORE))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,8 @@ import re
 import numpy as np
 import xxhash
 
+from . import caches
+
 SIZE = 5
 words = re.compile(r"[^\W_]+").findall
 
@@ -20,12 +22,14 @@ _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         h = xxhash.xxh64_intdigest(word)
-        if len(self) < 1_000_000 and len(word) <= 32:
+        if len(self) < 500_000 and len(word) <= 32:
             self[word] = h
         return h
 
 
-_hash = _Hashes().__getitem__
+_hashes = _Hashes()
+_hash = _hashes.__getitem__
+caches.register("shingles", _hashes.clear)
 
 
 def word_hashes(text: str) -> np.ndarray:

@@ -14,6 +14,8 @@ import array
 import json
 import sys
 
+from . import caches
+
 #: Without the apostrophe, which the pattern joins to letters.
 _PUNCTUATION = '!"#$%&()*+,-./:;=?@[\\]^_`{}~|'
 
@@ -69,7 +71,7 @@ def _packed(ids: list[int]) -> bytes:
 class Encoder:
     """encode(text) gives the ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -93,10 +95,12 @@ def _splits_at_spaces(spec: dict) -> bool:
 
 
 _encoders: dict[str, Encoder] = {}
+caches.register("tokens", _encoders.clear)
 
 
 def encoder(path: str) -> Encoder:
     """One for each worker process and file."""
+    caches.only("tokens")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
