@@ -22,6 +22,7 @@ repeated rows are packed each; an empty table gives no piece.
 from __future__ import annotations
 
 import struct
+import uuid
 import zlib
 from collections.abc import Mapping
 
@@ -38,8 +39,8 @@ LENGTH = 2048
 BAND = 64
 
 
-def _encode(batches, tokenizer: str, end_id: int):
-    encoder = tokens.encoder(tokenizer)
+def _encode(batches, tokenizer: str, end_id: int, call: str):
+    encoder = tokens.encoder(tokenizer, call)
     end = struct.pack("<I", end_id)
     next_id = TaskContext.get().partitionId() << 33
     for b in batches:
@@ -55,7 +56,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     split (rid >> 33) and the row's place in it."""
     common.prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), common.text_of().alias("text"))
-    return common.materialise(rows.mapInArrow(lambda x: _encode(x, tokenizer, end_id), "rid long, doc_id long, source string, n long, ids binary"), "encoded")
+    call = uuid.uuid4().hex
+    return common.materialise(rows.mapInArrow(lambda x: _encode(x, tokenizer, end_id, call), "rid long, doc_id long, source string, n long, ids binary"), "encoded")
 
 
 def _before(df: DataFrame, block: list, order: list, value: str, within: list, out: str) -> DataFrame:

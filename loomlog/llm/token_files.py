@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import io
 import struct
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -138,12 +139,12 @@ class Reader:
                 yield doc_id, data[4 * at : 4 * (at + n)]
 
 
-def _write(batches, folder: str, tokenizer: str, end_id: int, frame_bytes: int):
+def _write(batches, folder: str, tokenizer: str, end_id: int, frame_bytes: int, call: str):
     from pyarrow import fs
 
     system, base = fs.FileSystem.from_uri(folder)
     task = TaskContext.get()
-    encode = tokens.encoder(tokenizer).encode
+    encode = tokens.encoder(tokenizer, call).encode
     end = struct.pack("<I", end_id)
     name = f"part-{task.partitionId():06d}.ids.zst"
     draft = f"{base}/.{name}.{task.taskAttemptId()}"
@@ -173,7 +174,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         .repartitionByRange(F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
-    return common.materialise(ordered.mapInArrow(lambda x: _write(x, folder, tokenizer, end_id, frame_bytes), MANIFEST), "manifest")
+    call = uuid.uuid4().hex
+    return common.materialise(ordered.mapInArrow(lambda x: _write(x, folder, tokenizer, end_id, frame_bytes, call), MANIFEST), "manifest")
 
 
 def _open(uri: str):

@@ -94,16 +94,20 @@ def _splits_at_spaces(spec: dict) -> bool:
     return '"ByteLevel"' in text and '"Lowercase"' in text and '"Removed"' in text and '"add_prefix_space": false' in text
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, str], Encoder] = {}
 caches.register("tokens", _encoders.clear)
 
 
-def encoder(path: str) -> Encoder:
-    """One for each worker process and file."""
+def encoder(path: str, call: str = "") -> Encoder:
+    """One for each worker process, file and call of an operator.
+
+    A new call starts with an empty cache, so what a call costs doesn't depend on
+    what ran in the worker before."""
     caches.only("tokens")
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, call) not in _encoders:
+        _encoders.clear()
+        _encoders[path, call] = Encoder(path)
+    return _encoders[path, call]
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
