@@ -99,7 +99,7 @@ def _occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     return pairs.groupBy("context").agg(F.count("*").alias("total")).join(known, "context")
 
 
-def bootstrap(docs: DataFrame, base: DataFrame, rounds: int = 3, support: int = 3, share: float = 1 / 1000, threshold: float = 0.8) -> DataFrame:
+def bootstrap(docs: DataFrame, base: DataFrame, rounds: int = 3, support: int = 3, share: float = 1 / 500, threshold: float = 0.8) -> DataFrame:
     """rid, start, end of identifiers that the base spans' contexts lead to.
 
     A pattern needs ``support`` distinct values, and that ``share`` of all seeds, so
