@@ -54,8 +54,12 @@ BARRIER = frozenset("ul ol dl table td th tr article section div body nav aside
 OUT = frozenset("head script style noscript template svg iframe object audio video canvas select option button textarea form nav menu footer aside dialog datalist title".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 OUT_WORDS = frozenset(
-    "nav navbar navigation menu menubar header masthead footer sidebar aside ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notification alert share sharing social comment comments reply replies disqus respond related recommended recommendations breadcrumb breadcrumbs newsletter subscribe subscription signup login search widget widgets pagination pager copyright legal modal popup overlay toolbar skip tracking hidden".split()
+    "nav navbar navigation topnav subnav menu menubar masthead footer sidebar aside ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notification alert share sharing social comment comments reply replies disqus respond related recommended recommendations breadcrumb breadcrumbs newsletter subscribe subscription signup login search widget widgets pagination pager copyright modal popup overlay toolbar skip tracking hidden".split()
 )
+#: Beginnings of such words; words that are so only outside an article.
+OUT_BEGINS = ("advert", "sponsor", "cookie", "sidebar", "footer", "breadcrumb", "newsletter", "disqus", "sitenav", "sitefooter", "commentlist", "commentform", "commentsection")
+OUTER_WORDS = frozenset("header siteheader pageheader legal".split())
+ARTICLE_WORDS = frozenset("article entry post story".split())
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -160,7 +164,8 @@ def _node(parent: tuple, name: str, attributes: str) -> tuple[str, str, bool, bo
         values = {a.lower(): entities.unescape(b or c or d) for a, b, c, d in ATTRIBUTE.findall(told)}
         label = f"{values.get('class', '')} {values.get('id', '')}".strip()
         words = _SPLIT.split(_CAMEL.sub("-", label).lower())
-        bad = any(w in OUT_WORDS and (k == 0 or words[k - 1] not in ("has", "with", "no", "without")) for k, w in enumerate(words))
+        outer = () if parent[2] or ARTICLE_WORDS.intersection(words) else OUTER_WORDS
+        bad = any((w in OUT_WORDS or w in outer or w.startswith(OUT_BEGINS)) and (k == 0 or words[k - 1] not in ("has", "with", "no", "without")) for k, w in enumerate(words))
         role = values.get("role", "").lower()
         article = parent[2] or name in ("article", "main") or role in ("main", "article") or values.get("itemprop", "").lower() == "articlebody"
         out = (
