@@ -4,7 +4,8 @@ Texts become words in lower case in which numbers, units after numbers and names
 (words inside a sentence with a capital first letter alone) are replaced by typed placeholders. Windows of
 ``WINDOW`` such words of the benchmark are hash-joined with those of all documents;
 windows of placeholders mainly are no anchors. A document holds an item if it has at
-least ``COVERAGE`` of the item's windows and its slots are consistent: where the
+least ``COVERAGE`` of the item's windows, or ``PASSAGE`` of them (13 words in a row have
+as many), and its slots are consistent: where the
 windows lie over each other, each value in the item's slots has one counterpart in
 the document, so that a question with other numbers or names is caught and a mere
 likeness of form isn't. Items of 5 to 7 words are matched by windows of five words;
@@ -29,7 +30,7 @@ from . import common
 WINDOW, SHORT = 8, 5
 #: Plain words that a window needs as an anchor.
 ANCHOR = 3
-COVERAGE = 0.5
+COVERAGE, PASSAGE = 0.5, 6
 MOST_BROADCAST = 1_000_000
 #: Placeholders; capital letters don't occur among the words.
 NUMBER, UNIT, NAME = "N", "U", "P"
@@ -101,7 +102,7 @@ def _hits(rows: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     # an outer explode: else the optimizer repeats the arrays' whole expression in a filter below it
     windows = _windows(_tokens(rows), size).select("rid", F.posexplode_outer("hashes").alias("p", "hash"))
     met = common.materialise(windows.join(keys, "hash").select("rid", "p", "item_id", "n", "q"), "bench-hits")
-    covered = met.groupBy("rid", "item_id", "n").agg(F.countDistinct("q").alias("held")).where(F.col("held") >= COVERAGE * F.col("n"))
+    covered = met.groupBy("rid", "item_id", "n").agg(F.countDistinct("q").alias("held")).where((F.col("held") >= COVERAGE * F.col("n")) | (F.col("held") >= PASSAGE))
     covered = common.materialise(covered.select("rid", "item_id", (F.col("held") / F.col("n")).alias("coverage")), "bench-covered")
     # The slots of these pairs, from their documents alone.
     texts = _tokens(rows.join(covered.select("rid").distinct(), "rid", "left_semi"))
