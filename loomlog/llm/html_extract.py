@@ -233,7 +233,10 @@ def templates(pages: DataFrame) -> DataFrame:
         F.first("path").alias("path"), F.first("parent").alias("parent"), F.sum("pages").alias("pages"), (F.sum(F.col("vector").cast("decimal(38,0)")) % F.lit("18446744073709551616").cast("decimal(38,0)")).alias("vector"), F.sum("mass").alias("mass")
     )
     counts = pages.groupBy("host").agg(F.count("*").alias("n"))
-    frequent = summed.join(counts, "host").where((F.col("pages") >= SUPPORT * F.col("n")) & (F.col("pages") > 1))
+    counts = common.materialise(counts, "hosts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # most tokens are texts of one page; a large host's others aren't gathered in one task
+    frequent = common.attach(summed.where("pages > 1"), counts, "host", "n", total).where(F.col("pages") >= SUPPORT * F.col("n"))
     frequent = common.materialise(frequent, "tokens")
     # one class for each vector; a class nests if its tokens' parents are frequent too (roots have none)
     parents = frequent.where("path is not null").select("host", F.col("token").alias("parent")).withColumn("nested", F.lit(True))

@@ -161,7 +161,7 @@ def links(rows: DataFrame) -> DataFrame:
     buckets = reps.select("rid", F.posexplode_outer("bands").alias("band", "hash"))
     least = buckets.groupBy("hash").agg(F.min("rid").alias("low"), F.count("*").alias("size")).where("size > 1")
     least = common.materialise(least, "buckets")
-    ties = common.attach(buckets, least, "hash", "size", total).select("rid", "low", "hash", "band", "size")
+    ties = common.attach(buckets, least, "hash", "size", total * shingles.MinHash(THRESHOLD).bands).select("rid", "low", "hash", "band", "size")
     ties = common.materialise(ties, "ties")
     groups = components(ties.select(F.col("rid").alias("a"), F.col("low").alias("b")))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
