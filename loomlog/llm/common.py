@@ -1,7 +1,7 @@
 """What the training-data operators share: shared folders, row ids, small checks.
 
-Nothing here keeps state between calls except the folder used when the session
-names none, which is removed when the process ends.
+State between calls: the folder used when the session names none, which is removed
+when the process ends, and the names of the folders written, for ``clear_shared``.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ BATCH_BYTES = "4194304b"
 BROADCAST_BYTES = 32 << 20
 
 _own: list[str] = []
+_made: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -54,7 +55,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
             spark.sparkContext.setCheckpointDir(f"file://{_own[0]}/checkpoints")
         base = f"file://{_own[0]}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -65,11 +67,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_dir(spark: SparkSession, path: str) -> None:
-    """Remove a folder made by shared_dir, on whatever file system it is."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def clear_shared(spark: SparkSession) -> int:
+    """Remove what this process has written to the shared folder, and count it.
+
+    For the end of a job: results that aren't written down yet read from there."""
+    jvm, n = spark.sparkContext._jvm, len(_made)
+    while _made:
+        p = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
