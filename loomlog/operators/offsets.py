@@ -35,12 +35,14 @@ def from_committed(log: DataFrame, commits: DataFrame, group: str, most: int = 1
 
     Offsets are dense, so a range of offsets is a number of messages and no rank is needed."""
     done = committed(commits.where(F.col("consumer_group") == group)).select("topic", "partition", F.col("offset").alias("_from"))
-    rows = log.join(F.broadcast(done) if _few(done) else done, ["topic", "partition"], "left").withColumn("_from", F.coalesce("_from", F.lit(0).cast("long")))
+    rows = log.join(_small(done), ["topic", "partition"], "left").withColumn("_from", F.coalesce("_from", F.lit(0).cast("long")))
     return rows.where((F.col("offset") >= F.col("_from")) & (F.col("offset") < F.col("_from") + most)).drop("_from")
 
 
-def _few(df: DataFrame, most: int = 100_000) -> bool:
-    return df.limit(most + 1).count() <= most
+def _small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, as a broadcast table if it has at most ``most`` rows (they are read here, once)."""
+    rows = df.limit(most + 1).collect()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if len(rows) <= most else df
 
 
 def processing(consumed: DataFrame) -> DataFrame:
