@@ -37,37 +37,39 @@ def positions(keys: np.ndarray, size: int) -> np.ndarray:
     return np.stack([(base + np.uint64(k) * step) & np.uint64(size - 1) for k in range(HASHES)])
 
 
+#: Keys that a task takes together: their cells are sorted and sent once.
+TOGETHER = 500_000
+
+
 def _sparse(batches, size: int, least: int):
-    """Chunks of this task's filter, compressed; only cells that it met take room.
+    """Chunks of the filter that this task's keys meet, compressed.
 
     least 1: a plain set filter (every met cell counts as twice)."""
-    once: dict[int, np.ndarray] = {}
-    twice: dict[int, np.ndarray] = {}
+    held: list[np.ndarray] = []
+    n = 0
     for batch in batches:
         keys = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
-        for row in positions(keys, size):
-            cell, count = np.unique(row, return_counts=True)
-            chunk = (cell // CHUNK_BITS).astype(np.int64)
-            edges = np.flatnonzero(np.diff(chunk)) + 1
-            for part, n in zip(np.split(cell, edges), np.split(count, edges), strict=True):
-                if not len(part):
-                    continue
-                c = int(part[0] // CHUNK_BITS)
-                if c not in once:
-                    once[c], twice[c] = (np.zeros(CHUNK_BITS, bool) for _ in range(2))
-                at = (part % CHUNK_BITS).astype(np.int64)
-                twice[c][at] |= once[c][at] | (n >= least)
-                once[c][at] = True
-        if len(once) > 512:  # 64 MiB of open chunks
-            yield from _emit(once, twice)
-            once.clear()
-            twice.clear()
-    yield from _emit(once, twice)
-
-
-def _emit(once: dict, twice: dict):
-    for c in once:
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int64()), "once": [zlib.compress(np.packbits(once[c]).tobytes(), 1)], "twice": [zlib.compress(np.packbits(twice[c]).tobytes(), 1)]})
+        held.append(keys)
+        n += len(keys)
+        if n >= TOGETHER:
+            yield _chunks(np.concatenate(held), size, least)
+            held, n = [], 0
+    if n:
+        yield _chunks(np.concatenate(held), size, least)
+
+
+def _chunks(keys: np.ndarray, size: int, least: int) -> pa.RecordBatch:
+    cell, count = np.unique(positions(keys, size).ravel(), return_counts=True)
+    chunk = (cell // CHUNK_BITS).astype(np.int64)
+    edges = np.flatnonzero(np.diff(chunk)) + 1
+    out: dict[str, list] = {"chunk": [], "once": [], "twice": []}
+    for at, twice in zip(np.split((cell % CHUNK_BITS).astype(np.int64), edges), np.split(count >= least, edges), strict=True):
+        for name, met in (("once", at), ("twice", at[twice])):
+            bits = np.zeros(CHUNK_BITS, bool)
+            bits[met] = True
+            out[name].append(zlib.compress(np.packbits(bits).tobytes(), 1))
+    out["chunk"] = chunk[np.concatenate(([0], edges))].tolist()
+    return pa.RecordBatch.from_pydict({"chunk": pa.array(out["chunk"], pa.int64()), "once": out["once"], "twice": out["twice"]})
 
 
 def _merge(_, table):
