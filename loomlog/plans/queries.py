@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import codec, hashing, names
-from ..operators import batching, groups, log, offsets, ring, stats
+from ..operators import batching, groups, kv, log, offsets, ring, stats
 from ..sources import tables
 
 N = 4
@@ -368,6 +368,38 @@ def leader_of_partition(spark, d):
     return groups.leaders(leases, F.lit(now))
 
 
+# -- keys with leases: an event puts its node under its partition's key, an error deletes it
+
+
+KV = EV + """, w AS (SELECT '/leader/' || topic || '/' || "partition" || '/' || substr(key, 6)::BIGINT % 10 AS key, CASE WHEN topic <> 'ev-error' OR event_id % 3 = 0 THEN 'n' || event_id % 5 END AS value, event_id AS revision, ts + INTERVAL 2 DAY AS expires FROM ev),
+n AS (SELECT max(ts) AS now FROM events),
+st AS (SELECT key, arg_max({'v': value, 'e': expires}, revision) AS x, max(revision) AS revision FROM w GROUP BY 1),
+live AS (SELECT key, x.v AS value, revision FROM st, n WHERE x.v IS NOT NULL AND x.e > now)"""
+
+
+def _writes(rows: DataFrame) -> DataFrame:
+    key = F.concat_ws("/", F.lit("/leader"), "topic", F.col("partition").cast("string"), (F.expr("cast(substring(key, 6) as bigint)") % 10).cast("string"))
+    value = F.when((F.col("topic") != "ev-error") | (F.col("seq") % 3 == 0), F.concat(F.lit("n"), (F.col("seq") % 5).cast("string")))
+    return rows.select(key.alias("key"), value.alias("value"), F.col("seq").alias("revision"), (F.col("timestamp") + F.expr("interval 2 days")).alias("expires"))
+
+
+@query(f"""WITH {KV} SELECT * FROM live""")
+def kv_state(spark, d):
+    rows = routed(spark, d)
+    return kv.state(_writes(rows), F.lit(rows.agg(F.max("timestamp")).first()[0]))
+
+
+@query(f"""WITH {KV} SELECT * FROM live WHERE starts_with(key, '/leader/ev-c')""")
+def kv_list(spark, d):
+    return kv.listed(kv_state(spark, d), "/leader/ev-c")
+
+
+@query(f"""WITH {KV}, b AS (SELECT *, lag(value) OVER (PARTITION BY key ORDER BY revision) AS before FROM w) SELECT key, value, revision FROM b WHERE value IS NOT NULL AND before IS NULL""")
+def kv_creations(spark, d):
+    """Puts that found their key free: the elections that a node won."""
+    return kv.creations(_writes(routed(spark, d)))
+
+
 # -- batching
 
 
