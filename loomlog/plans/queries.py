@@ -144,6 +144,14 @@ def assign_offsets(spark, d):
     return logged(spark, d).select(F.col("seq").alias("event_id"), "topic", "partition", "offset")
 
 
+@query(f"""WITH o AS (SELECT o_orderkey, o_orderdate, ({_fnv("'order-' || o_orderkey")} % 4)::INT AS "partition" FROM orders)
+SELECT o_orderkey, "partition", row_number() OVER (PARTITION BY "partition" ORDER BY o_orderdate, o_orderkey) - 1 AS "offset" FROM o""")
+def order_offsets(spark, d):
+    """The topic of orders: many keys, one topic."""
+    rows = log.assign_offsets(log.routed(tables.order_messages(tables.table(spark, d, "orders")), N))
+    return rows.select(F.col("seq").alias("o_orderkey"), "partition", "offset")
+
+
 @query(f"""WITH {LOG} SELECT event_id AS idx, "partition", "offset", '' AS error FROM log""")
 def produce_results(spark, d):
     return log.produce_results(routed(spark, d).withColumn("idx", F.col("seq")), [*range(N)])

@@ -1,13 +1,11 @@
-"""Schemas of the log's tables. Columns are never null; an absent error is ''."""
+"""Schemas of the store's tables. Columns are never null; an absent error is ''."""
 
 from __future__ import annotations
 
-MESSAGE = "topic string, partition int, offset bigint, key string, value binary, timestamp timestamp"
-RESULT = "idx bigint, partition int, offset bigint, error string"
-TOPIC = "topic string, num_partitions int"
-PARTITION = "topic string, partition int, live boolean"
+#: As read from the store: the folders' names are the last two columns.
+MESSAGE = "offset bigint, key string, value binary, timestamp timestamp, topic string, partition int"
+TOPIC_EVENT = "topic string, partition int, live boolean, version bigint"
 COMMIT = "consumer_group string, topic string, partition int, offset bigint, commit_seq bigint"
-MEMBER_EVENT = "consumer_id string, group_id string, topics array<string>, kind string, ts timestamp, session_timeout_ms int, metadata map<string,string>"
 
 #: What an auto-created topic gets, and what a reader gets that names no number.
 AUTO_PARTITIONS, AUTO_MESSAGES = 4, 100

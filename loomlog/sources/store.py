@@ -52,7 +52,7 @@ class LogStore:
     # -- topics
 
     def _topic_events(self) -> DataFrame:
-        return self._read("topics", "topic string, partition int, live boolean, version bigint")
+        return self._read("topics", schema.TOPIC_EVENT)
 
     def partitions(self, topic: str | None = None) -> DataFrame:
         """topic, partition of the live ones."""
@@ -62,7 +62,7 @@ class LogStore:
 
     def _put(self, rows: list[tuple[str, int, bool]]) -> None:
         version = (self._topic_events().agg(F.max("version")).first()[0] or 0) + 1
-        made = self.spark.createDataFrame([(*x, version) for x in rows], "topic string, partition int, live boolean, version bigint")
+        made = self.spark.createDataFrame([(*x, version) for x in rows], schema.TOPIC_EVENT)
         made.coalesce(1).write.mode("append").parquet(f"{self.path}/topics")
 
     def topics(self) -> list[str]:
@@ -113,7 +113,7 @@ class LogStore:
     # -- messages
 
     def messages(self) -> DataFrame:
-        return self._read("messages", "offset bigint, key string, value binary, timestamp timestamp, topic string, partition int")
+        return self._read("messages", schema.MESSAGE)
 
     def info(self, topic: str) -> DataFrame:
         self.num_partitions(topic)
