@@ -3,7 +3,6 @@
 import random
 
 import corpus_pipeline
-import oracle  # noqa: F401
 from llm_words import WORDS, prose
 from pyspark.sql import functions as F
 
