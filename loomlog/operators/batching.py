@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import ship
 from . import prefix
 
 MESSAGES, BYTES, RETRIES, BACKOFF_MS = 1000, 1 << 20, 3, 10
@@ -50,6 +51,7 @@ def by_bytes(messages: DataFrame, most: int = MESSAGES, most_bytes: int = BYTES)
     starts depends on all before it, so a topic (or producer of one) is one task's
     sorted stream; a message over the limit is a batch of its own."""
     most, most_bytes = most if most > 0 else MESSAGES, most_bytes if most_bytes > 0 else BYTES
+    ship(messages.sparkSession)
     ordered = messages.repartition("topic").sortWithinPartitions("topic", "timestamp", "seq").select("topic", "size")
     return ordered.mapInArrow(lambda x: _fold(x, most, most_bytes), "topic string, batch long, messages long, bytes long")
 

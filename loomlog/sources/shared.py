@@ -1,17 +1,28 @@
-"""Folders that all executors see: in spark.checkpoint.dir, or this process' own where it's unset."""
+"""What executors share with the driver: folders (in spark.checkpoint.dir, or this
+process' own where it's unset) and the package itself."""
 
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 _own: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package where they share the driver's code path."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:

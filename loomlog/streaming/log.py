@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..sources.shared import ship
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OFFSETS = "topic string, partition int, seq long, offset long"
 
 
 def use_rocksdb(spark: SparkSession) -> None:
     """What keyed state in Python needs."""
+    ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
