@@ -99,12 +99,10 @@ def _occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
     return pairs.groupBy("context").agg(F.count("*").alias("total")).join(known, "context")
 
 
-def bootstrap(docs: DataFrame, base: DataFrame, rounds: int = 3, support: int = 3, share: float = 1 / 500, threshold: float = 0.8) -> DataFrame:
+def bootstrap(docs: DataFrame, base: DataFrame, rounds: int = 3, support: int = 3, threshold: float = 0.8) -> DataFrame:
     """rid, start, end of identifiers that the base spans' contexts lead to.
 
-    A pattern needs ``support`` distinct values, and that ``share`` of all seeds, so
-    that the number of patterns doesn't grow with the corpus."""
-    support = max(support, int(share * base.select("match").distinct().count()))
+    A pattern needs ``support`` distinct values, whatever the size of the corpus."""
     candidates = _apart(base, matches(docs, {"id": CANDIDATE}, {"id": r"[A-Za-z0-9_-]{4}[0-9]|[0-9][A-Za-z0-9_-]{4}|[A-Za-z_-][0-9]"}))
     graph = common.materialise(
         base.withColumn("seed", F.lit(True)).unionByName(candidates.withColumn("seed", F.lit(False))).where("context is not null"), "pii-graph"

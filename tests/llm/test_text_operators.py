@@ -181,6 +181,14 @@ def test_op6_contexts_lead_to_unseen_identifiers(make):
             assert f"id:{at}:{at + 10}" in got[k].spans.split(",") and got[k].n_email == 0
 
 
+def test_op6_unrelated_seeds_take_no_finds_away(make):
+    rng = random.Random(8)
+    rows = [(k, f"my contact id {f'user{k}@mail.example.com' if k < 4 else f'ZX-{1000 + k}-QQ'} {prose(rng, 5)}") for k in range(6)]
+    rows.append((99, " ".join(f"x{k}@mail.example.com" for k in range(3000))))
+    got = {r.doc_id: r.spans for r in pii.report(make(rows)).collect()}
+    assert [got[k] for k in (4, 5)] == ["id:14:24"] * 2
+
+
 # -- 7
 
 
