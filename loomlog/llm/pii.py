@@ -6,7 +6,11 @@ pattern; patterns and the identifiers found after them form a graph, on which
 scores are passed back and forth: a pattern's score is the scored share of all
 its occurrences in the corpus, ordinary words included, an identifier's score the
 chance that at least one of its patterns is right. Identifiers over the threshold
-are seeds of the next round, and their occurrences become spans of kind ``id``.
+are seeds of the next round; those with at least one strong pattern are trusted, and
+all their occurrences become spans of kind ``id``, whatever stands before them.
+
+Where fewer than two words lie between a match and the one of its kind before it (or
+the text's start), markers take their places, so that every match has a pattern.
 
 All of it is DataFrame and SQL functions. Offsets are code points: a text is split
 at a pattern and the pieces' lengths are summed, so that no row of Python is run.
@@ -36,6 +40,9 @@ KINDS = [*BASE, "id"]
 TRIGGER = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){13}", "phone": r"\+[0-9]"}
 #: Identifier-like: a run of five or more letters, digits, _ and - that holds a digit.
 CANDIDATE = r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9_-]{5,}+"
+#: What parts words; markers of the text's start and of the match before, which no word equals.
+APART = r"[^\p{L}\p{N}=:#]+"
+START, MATCH = "^", "§"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -60,23 +67,33 @@ def _doubled(d: Column) -> Column:
 
 
 def matches(docs: DataFrame, patterns: dict[str, str], when: dict[str, str]) -> DataFrame:
-    """rid, kind, match, start, end, context of every match; docs: rid, text.
+    """rid, kind, match, start, end, context, after of every match; docs: rid, text.
 
-    context: xxHash64 of the two words before the match, null if there aren't two."""
+    context: xxHash64 of the two words before the match, with markers where there are
+    fewer since the match before it; after: that of a marker and the first word after it."""
     trigger = "|".join(f"(?:{x})" for x in when.values())
     held = docs.where(F.col("text").rlike(trigger))
     parts = []
     for kind, pattern in patterns.items():
         found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
         gaps = F.split("text", pattern, -1)
-        rows = F.zip_with(gaps, found, lambda gap, match: F.struct(F.lit(kind).alias("kind"), F.length(gap).alias("gap"), F.right(gap, F.lit(80)).alias("left"), match.alias("match")))
+        pairs = F.zip_with(gaps, found, lambda gap, match: F.struct(gap.alias("left"), match.alias("match")))
+        rows = F.zip_with(pairs, F.slice(gaps, 2, F.size(found)), lambda x, right: F.struct(F.lit(kind).alias("kind"), x["left"].alias("left"), x["match"].alias("match"), right.alias("right")))
         parts.append(F.when(F.col("text").rlike(when[kind]), rows))
     rows = held.select("rid", F.explode_outer(F.array(*parts)).alias("rows")).select("rid", F.posexplode_outer("rows").alias("i", "x")).select("rid", "i", "x.*").where(F.col("match").isNotNull())
+    marker = F.when(F.col("i") == 0, START).otherwise(MATCH)
+    words = F.concat(F.array(marker, marker), _words("left"))
+    follows = F.get(_words("right"), F.lit(0))
+    rows = rows.select(
+        "rid", "i", "kind", "match", F.length("left").alias("gap"), F.xxhash64(F.element_at(words, -2), F.element_at(words, -1)).alias("context"), F.when(follows.isNotNull(), F.xxhash64(F.lit(MATCH), follows)).alias("after")
+    )
     order = Window.partitionBy("rid", "kind").orderBy("i")
     before = F.sum(F.col("gap") + F.length("match")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    words = F.split(F.trim(F.regexp_replace(F.lower("left"), r"[^\p{L}\p{N}=:#]+", " ")), " ")
-    context = F.when(F.size(words) >= 2, F.xxhash64(F.element_at(words, -2), F.element_at(words, -1)))
-    return rows.select("rid", "kind", "match", context.alias("context"), (before - F.length("match")).cast("long").alias("start"), before.cast("long").alias("end"))
+    return rows.select("rid", "kind", "match", "context", "after", (before - F.length("match")).cast("long").alias("start"), before.cast("long").alias("end"))
+
+
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.regexp_replace(F.lower(text), APART, " "), " "), lambda x: x != "")
 
 
 def _apart(base: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -89,29 +106,35 @@ def _apart(base: DataFrame, candidates: DataFrame) -> DataFrame:
     return marked.where("not known and coalesce(_ends <= start, true) and coalesce(_starts >= end, true)").drop("known", "_ends", "_starts")
 
 
-def _occurrences(docs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """How often each context stands in the corpus, over all texts: context, total."""
-    words = F.split(F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}=:#]+", " ")), " ")
-    pairs = docs.select(words.alias("w")).where(F.size("w") > 1).select(F.explode(F.expr("zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b))")).alias("context"))
+def _occurrences(docs: DataFrame, found: DataFrame, contexts: DataFrame) -> DataFrame:
+    """How often each context stands in the corpus, over all texts: context, total.
+
+    found: all matches, valid or not, as contexts with markers of a match stand after them."""
+    words = F.concat(F.array(F.lit(START), F.lit(START)), _words("text"))
+    pairs = docs.select(words.alias("w")).select(F.explode(F.expr("zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> xxhash64(a, b))")).alias("context"))
+    after = found.select(F.explode(F.array(F.xxhash64(F.lit(MATCH), F.lit(MATCH)), "after")).alias("context")).where("context is not null")
     known = contexts.select("context").distinct()
     if known.limit(200_001).count() <= 200_000:  # 8 bytes each
-        return pairs.join(F.broadcast(known), "context").groupBy("context").agg(F.count("*").alias("total"))
-    return pairs.groupBy("context").agg(F.count("*").alias("total")).join(known, "context")
+        total = pairs.unionByName(after).join(F.broadcast(known), "context").groupBy("context").agg(F.count("*").alias("total"))
+    else:
+        total = pairs.unionByName(after).groupBy("context").agg(F.count("*").alias("total"))
+    # one whose matches always continue its last word may stand nowhere else
+    return known.join(total, "context", "left").select("context", F.coalesce("total", F.lit(0)).alias("total"))
 
 
-def bootstrap(docs: DataFrame, base: DataFrame, rounds: int = 3, support: int = 3, threshold: float = 0.8) -> DataFrame:
-    """rid, start, end of identifiers that the base spans' contexts lead to.
+def bootstrap(docs: DataFrame, raw: DataFrame, base: DataFrame, rounds: int = 3, support: int = 3, threshold: float = 0.8) -> DataFrame:
+    """rid, start, end of identifiers that the base spans' contexts lead to; raw: the
+    base patterns' matches, base: the valid ones.
 
     A pattern needs ``support`` distinct values, whatever the size of the corpus."""
-    candidates = _apart(base, matches(docs, {"id": CANDIDATE}, {"id": r"[A-Za-z0-9_-]{4}[0-9]|[0-9][A-Za-z0-9_-]{4}|[A-Za-z_-][0-9]"}))
-    graph = common.materialise(
-        base.withColumn("seed", F.lit(True)).unionByName(candidates.withColumn("seed", F.lit(False))).where("context is not null"), "pii-graph"
-    )
+    like = common.materialise(matches(docs, {"id": CANDIDATE}, {"id": r"[A-Za-z0-9_-]{4}[0-9]|[0-9][A-Za-z0-9_-]{4}|[A-Za-z_-][0-9]"}), "pii-candidates")
+    candidates = _apart(base, like)
+    graph = common.materialise(base.withColumn("seed", F.lit(True)).unionByName(candidates.withColumn("seed", F.lit(False))).drop("after"), "pii-graph")
     frequent = graph.groupBy("context").agg(F.countDistinct("match").alias("values"), F.max((~F.col("seed")).cast("int")).alias("leads")).where(f"values >= {support} and leads = 1")
     frequent = common.materialise(frequent.select("context"), "pii-contexts")
     if not frequent.take(1):
         return graph.where("false").select("rid", "start", "end")
-    total = common.materialise(_occurrences(docs, frequent), "pii-totals")
+    total = common.materialise(_occurrences(docs, raw.unionByName(like), frequent), "pii-totals")
     edges = graph.join(total, "context").groupBy("context", "total", "match", "seed").agg(F.count("*").alias("n"))
     edges = common.materialise(edges, "pii-edges")
     scores = edges.where("seed").select("match", F.lit(1.0).alias("score")).distinct()
@@ -119,7 +142,7 @@ def bootstrap(docs: DataFrame, base: DataFrame, rounds: int = 3, support: int =
         scored = edges.join(scores, "match", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
         patterns = (
             scored.groupBy("context")
-            .agg(F.least(F.lit(0.999), F.sum(F.col("n") * F.col("score")) / F.max("total")).alias("weight"), F.countDistinct(F.when(F.col("score") >= threshold, F.col("match"))).alias("backed"))
+            .agg(F.least(F.lit(0.999), F.sum(F.col("n") * F.col("score")) / F.greatest(F.max("total"), F.sum("n"))).alias("weight"), F.countDistinct(F.when(F.col("score") >= threshold, F.col("match"))).alias("backed"))
             .where(f"backed >= {support}")
         )
         scores = common.materialise(
@@ -127,13 +150,15 @@ def bootstrap(docs: DataFrame, base: DataFrame, rounds: int = 3, support: int =
         )
     trusted = scores.where(F.col("score") >= threshold).select("match")
     strong = common.materialise(patterns.where(F.col("weight") >= threshold / 2).select("context"), "pii-strong")
-    return graph.where("not seed").join(trusted, "match", "left_semi").join(strong, "context", "left_semi").select("rid", "start", "end")
+    trusted = trusted.join(edges.join(strong, "context", "left_semi").select("match"), "match", "left_semi")
+    return graph.where("not seed").join(trusted, "match", "left_semi").select("rid", "start", "end")
 
 
 def find(docs: DataFrame) -> DataFrame:
     """rid, kind, start, end of all spans; docs: rid, text (no nulls)."""
-    base = common.materialise(matches(docs, BASE, TRIGGER).where(_valid()), "pii-base")
-    found = bootstrap(docs, base)
+    raw = common.materialise(matches(docs, BASE, TRIGGER), "pii-matches")
+    base = common.materialise(raw.where(_valid()), "pii-base")
+    found = bootstrap(docs, raw, base)
     return base.select("rid", "kind", "start", "end").unionByName(found.withColumn("kind", F.lit("id")).select("rid", "kind", "start", "end"))
 
 

@@ -189,6 +189,24 @@ def test_op6_unrelated_seeds_take_no_finds_away(make):
     assert [got[k] for k in (4, 5)] == ["id:14:24"] * 2
 
 
+def test_op6_matches_without_two_words_before_them(make):
+    rng = random.Random(9)
+    rows = [(k, f"{prose(rng, 5)} my contact id {f'user{k}@mail.example.com' if k % 3 else f'ZX-{1000 + k}-QQ'} {prose(rng, 5)}") for k in range(60)]
+    lines = ["ZX-1000-QQ", "ID: ZX-1003-QQ", "my contact id ZX-1000-QQ, ZX-1003-QQ and ZX-1006-QQ. ID: ZX-1009-QQ", f"see{' ' * 90}ZX-1012-QQ", f"{'w' * 100} room ZX-1015-QQ 10234"]
+    rows += [(100 + k, x) for k, x in enumerate(lines)]
+    got = {r.doc_id: r.spans for r in pii.report(make(rows)).collect()}
+    for k, x in enumerate(lines):
+        assert got[100 + k] == ",".join(f"id:{m.start()}:{m.end()}" for m in re.finditer(r"ZX-\d+-QQ", x))
+
+
+def test_op6_markers_are_learnt_and_counted(make):
+    rows = [(k, f"id: {f'user{k}@mail.example.com' if k < 4 else f'ZX-{1000 + k}-QQ'} by") for k in range(6)]
+    got = {r.doc_id: r.spans for r in pii.report(make(rows)).collect()}
+    assert [got[k] for k in (4, 5)] == ["id:4:14"] * 2
+    more = [(k + 10, "id: unknown") for k in range(90)]  # the same pattern, mostly before plain words
+    assert {r.spans for r in pii.report(make(rows + more)).collect() if r.doc_id in (4, 5)} == {""}
+
+
 # -- 7
 
 
