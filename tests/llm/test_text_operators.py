@@ -117,6 +117,21 @@ def test_op5_shuffled_benchmark_gives_the_same(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.op5_decontaminate(spark, d).collect())) == once
 
 
+def _held(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    return {(r.rid, r.item_id) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_op5_one_clean_occurrence_is_enough(spark):
+    rng = random.Random(12)
+    day = "On {} the baker sold {} loaves of bread and went home late in the evening ."
+    twice = f"{day.format('Monday', 12)} {day.format('Tuesday', 15)}"
+    one = "A train leaves the old station with 120 km to go and Alice waits for 30 minutes until they get on board with 7 bags"
+    other, third = one.replace("120", "250").replace("Alice", "Robert"), one.replace("30", "45").replace("Alice", "Emma")
+    cases = [(twice, 0), (f"{one} {prose(rng, 30)} {other}", 1), (f"{other} {prose(rng, 30)} {third}", 1), (f"{one} {prose(rng, 90)} the old station with 99 km to go and Peter waits", 1)]
+    assert _held(spark, [x for x, _ in cases], [(0, twice), (1, one)]) == {(k, i) for k, (_, i) in enumerate(cases)}
+
+
 # -- 6
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
