@@ -148,7 +148,7 @@ def _hits(rows: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     )
     whole = held.join(slots, occurrence, "left").where("coalesce(clashes, 0) = 0")
     whole = whole.select("rid", "bid", (F.col("held") / F.col("n")).alias("coverage"), F.coalesce("slots", F.lit(0)).cast("long").alias("slots"))
-    return whole
+    return whole.unionByName(plain)
 
 
 def contaminated(rows: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -132,6 +132,13 @@ def test_op5_one_clean_occurrence_is_enough(spark):
     assert _held(spark, [x for x, _ in cases], [(0, twice), (1, one)]) == {(k, i) for k, (_, i) in enumerate(cases)}
 
 
+def test_op5_plain_copies_of_any_kind(spark):
+    german = "Der Bauer verkauft am Montag seine Ernte auf dem Markt in Bremen und kauft danach Brot Milch und Butter für die Familie im Dorf"
+    items = [(0, german), (1, "What Is The Capital Of France And Which River Runs Through It"), (2, "Solve 12 34 56 78 90 11 13 17 19 23"), (None, "the quick fox jumps over a lazy dog near some old barn")]
+    texts = [german.lower(), german.upper(), *(x for _, x in items[1:])]
+    assert _held(spark, texts, items) == {(0, 0), (1, 0), (2, 1), (3, 2), (4, None)}
+
+
 # -- 6
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
