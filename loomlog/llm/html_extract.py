@@ -1,4 +1,4 @@
-"""Operator 1: main text of web pages by equivalence classes of template tokens.
+"""Operator 1: main text of web pages by frequent tokens of a host and lists of names.
 
 Tokens of a page are its elements, told apart by their path (names with class and id),
 and its blocks of text. Over the pages of a host each token has an occurrence
@@ -7,7 +7,8 @@ pages, so classes of tokens with one vector come from an aggregation that takes
 pages in and needs no page twice. Classes that stand on enough of a host's pages
 are kept if they nest: an element's path must continue the path of a kept class.
 They are the host's template. Of it come the text blocks that every page repeats, and
-the slot that holds most of the text between template tokens.
+the slot that holds most of the text between template tokens. Both come out the same
+from single frequent tokens: the classes are counted, and decide nothing.
 
 A page's text is what stands in its article (or ``main``) or, without one, in
 its host's main slot, less the elements that are no part of an article by their name,
