@@ -6,12 +6,14 @@ bytes on average, at most ``LONGEST``) and compared by a 64-bit digest of their
 bytes. A first pass counts digests; those that occur twice fill a bitmap of bounded
 size, and a second pass over the texts lets only chunks in it through to the exact
 step, which counts again and names each digest's first occurrence. Neighbouring
-repeated chunks form runs; a run of ``WORDS`` words and more is a repeated passage.
+repeated chunks form runs; a run of ``WORDS`` words (parted by any white space) and
+more, or of ``LONG`` code points, is a repeated passage.
 All occurrences are reported, with whether they are the first one (which stays).
 
 With a mean of 24 bytes, the parts of a repeated passage before its first and after
-its last shared cut are some 24 bytes each and 16 of the hash's window, so passages
-of over 50 words have runs of 22 words and more; shorter repeated lines don't.
+its last shared cut are some 24 bytes each and 16 of the hash's window, so most passages
+of over 50 words have runs of 22 words and more, and shorter repeated lines don't. The
+lost parts have no bound, as runs aren't extended on the texts: some passages are missed.
 
 A passage that repeats within one text counts as well. Null texts count as empty
 and have no passages; a null doc_id is the last to be first; repeated rows repeat each
@@ -32,6 +34,9 @@ MEAN, LONGEST, WORDS = 24, 1024, 22
 #: Bytes that a cut depends on: the gear hash has as many bits, and each byte shifts it by one.
 SPAN = 16
 
+#: Runs of as many code points are passages whatever their words: scripts without white space.
+LONG = 12 * WORDS
+SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 33)])
 GEAR = np.random.default_rng(2016).integers(0, 1 << SPAN, 256, dtype=np.uint16)
 
 
@@ -72,6 +77,21 @@ def _raw(column) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def spaces(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of a text belongs to white space, as str.split has it."""
+    space = SPACE[data]
+    if len(data) > 1 and data.max() > 0x7F:
+        two = (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+        space[:-1] |= two
+        space[1:] |= two
+        a, b, c = data[:-2], data[1:-1], data[2:]
+        three = (a == 0xE2) & ((b == 0x80) & ((c <= 0x8A) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F))
+        three |= (a == 0xE1) & (b == 0x9A) & (c == 0x80) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        for k in range(3):
+            space[k : len(space) - 2 + k] |= three
+    return space
+
+
 def _digests(batches):
     caches.only()
     for b in batches:
@@ -91,7 +111,7 @@ def _suspects(batches, bits):
                 continue
             data = np.frombuffer(raw, np.uint8)
             points = np.cumsum((data & 0xC0) != 0x80)  # code points up to each byte
-            space = (data == 32) | (data == 10)
+            space = spaces(data)
             starts = np.cumsum(space[:-1] & ~space[1:])  # words begun
             starts = np.concatenate(([0], starts))
             begins = np.concatenate(([0], ends[:-1]))[keep]
@@ -133,7 +153,7 @@ def repeated(rows: DataFrame, least_words: int = WORDS) -> DataFrame:
             F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("words").alias("n_words"),
             F.max_by("first_doc_id", F.struct(length, "at")).alias("first_doc_id"), (2 * F.sum(F.when(F.col("is_first"), length).otherwise(0)) > F.sum(length)).alias("is_first"),
         )
-        .where(F.col("n_words") >= least_words)
+        .where((F.col("n_words") >= least_words) | (F.col("end") - F.col("start") >= LONG))
         .drop("run")
     )
 

@@ -224,6 +224,22 @@ def test_op10_finds_every_shared_passage(make):
         assert not r.is_first or r.first_doc_id == r.doc_id
 
 
+def test_op10_spaces_are_those_of_python():
+    text = "".join(f"a{chr(k)}é" for k in range(1, 0x3100)) + "x😀"
+    want = b"".join((b"\1" if x.isspace() else b"\0") * len(x.encode()) for x in text)
+    assert chunk_dedup.spaces(np.frombuffer(text.encode(), np.uint8)).tobytes() == want
+    assert all(chunk_dedup.spaces(np.frombuffer(x, np.uint8)).tolist() == [False] * len(x) for x in (b"", "é".encode(), b"x"))
+
+
+def test_op10_passages_with_other_white_space_or_none(make):
+    rng = random.Random(14)
+    tabs, wide = "\t".join(prose(rng, 80).split()), "\u3000".join(prose(rng, 80).split())
+    none = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(900))
+    rows = [(2 * k + j, f"{prose(rng, 40)} {x} {prose(rng, 40)}") for k, x in enumerate((tabs, wide, none)) for j in range(2)]
+    got = chunk_dedup.repeated(common.with_row_id(make(rows), "rid").select("rid", "doc_id", "text")).collect()
+    assert {r.doc_id for r in got} == set(range(6))
+
+
 def test_op10_odd_rows(odd, empty, make):
     rows = lambda df: common.with_row_id(df, "rid").select("rid", "doc_id", common.text_of().alias("text"))
     assert chunk_dedup.repeated(rows(empty)).count() == 0
