@@ -14,6 +14,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,6 +51,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (``spark.checkpoint.dir``)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="loomlog-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -87,10 +90,48 @@ def text_of(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+#: Bits of a row id that hold the row's place in its file.
+PLACE_BITS = 36
+
+
 def with_row_id(df: DataFrame, name: str = RID) -> DataFrame:
-    """Number the rows. ``df`` must be a plain read of files, as then every
-    evaluation deals the same rows to the same splits and numbers them alike."""
-    return df.withColumn(name, F.monotonically_increasing_id())
+    """Number the rows, alike in every job and whatever the number of cores then.
+
+    A row of Parquet files has the number of its file (in the order of names) and its
+    place in it. Other tables, and those of so many files that their names aren't
+    few, are written down once with the numbers they got."""
+    files = _files(df)
+    if files is None or sum(map(len, files)) > BROADCAST_BYTES:
+        return materialise(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    meta = df.metadataColumn("_metadata")
+    place = meta.getField("row_index")
+    if len(files) < 2:
+        return df.withColumn(name, place)
+    spark = df.sparkSession
+    known = spark.range(1).select(F.posexplode(F.split(F.lit("\n".join(files)), "\n")).alias("__loomlog_number", "__loomlog_known"))
+    number = F.coalesce(F.col("__loomlog_number"), F.raise_error(F.concat(F.lit("a file that wasn't listed: "), F.col("__loomlog_file")))).cast("long")
+    placed = df.withColumn("__loomlog_file", _plain_path(meta.getField("file_path"))).withColumn("__loomlog_place", place)
+    placed = placed.join(F.broadcast(known), F.col("__loomlog_file") == F.col("__loomlog_known"), "left")
+    return placed.withColumn(name, F.shiftleft(number, PLACE_BITS).bitwiseOR(F.col("__loomlog_place"))).drop("__loomlog_number", "__loomlog_known", "__loomlog_file", "__loomlog_place")
+
+
+def _plain_path(path: Column) -> Column:
+    """Paths come with one slash or three after the scheme."""
+    return F.regexp_replace(path, "^([A-Za-z][A-Za-z0-9+.-]*:)/+", "$1")
+
+
+def _files(df: DataFrame) -> list[str] | None:
+    """The files that df reads, if it is a plain read of Parquet files, each row once."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        return None
+    try:
+        df.select(df.metadataColumn("_metadata").getField("row_index"))
+    except AnalysisException:
+        return None
+    return sorted({re.sub("^([A-Za-z][A-Za-z0-9+.-]*:)/+", r"\1", x) for x in df.inputFiles()})
 
 
 def hot_limit(n_rows: int, tables: int = 4096, least: int = 1_000) -> int:
@@ -123,9 +164,12 @@ def renamed(docs: DataFrame, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
     return f(docs.toDF(*plain)).toDF(*docs.columns)
 
 
-def but_for(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of df whose number isn't in ids (one column, RID); all columns as they were."""
-    return with_row_id(df).join(ids, RID, "left_anti").select(*quoted(df.columns))
+def but_for(numbered: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of with_row_id(df) whose number isn't in ids (one column, RID), with df's columns.
+
+    Few numbers are broadcast, and no row is shuffled then."""
+    ids = F.broadcast(ids) if 16 * ids.count() <= BROADCAST_BYTES else ids
+    return numbered.join(ids, RID, "left_anti").drop(RID)
 
 
 def quoted(columns: list[str]) -> list[Column]:

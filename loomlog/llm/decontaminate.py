@@ -168,9 +168,10 @@ def _any_short(benchmark: DataFrame) -> bool:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no item, all columns as they were."""
-    rows = common.with_row_id(docs, "rid").select("rid", common.text_of().alias("text"))
+    numbered = common.with_row_id(docs)
+    rows = numbered.select(F.col(common.RID).alias("rid"), common.text_of().alias("text"))
     bad = common.materialise(contaminated(rows, benchmark).select(F.col("rid").alias(common.RID)).distinct(), "contaminated")
-    return common.but_for(docs, bad)
+    return common.but_for(numbered, bad)
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import bloom, caches, common
 
@@ -37,11 +36,13 @@ def _fingerprint(batches):
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """_rid, doc_id, sha of every row, written down."""
-    common.prepare(docs.sparkSession)
-    return common.materialise(
-        common.with_row_id(docs, "_rid").select("_rid", F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).mapInArrow(_fingerprint, "_rid long, doc_id long, sha binary"),
-        "fingerprints",
-    )
+    return _fingerprints(common.with_row_id(docs))
+
+
+def _fingerprints(numbered: DataFrame) -> DataFrame:
+    common.prepare(numbered.sparkSession)
+    rows = numbered.select(F.col(common.RID).alias("_rid"), F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
+    return common.materialise(rows.mapInArrow(_fingerprint, "_rid long, doc_id long, sha binary"), "fingerprints")
 
 
 def repeated_filter(prints: DataFrame) -> bytes:
@@ -60,55 +61,37 @@ def _probe(batches, bits):
         yield b.append_column("maybe", pa.array(bloom.test(bitmap, keys)))
 
 
+def _probed(prints: DataFrame) -> DataFrame:
+    """prints with ``maybe``: whether the row's hash may occur twice."""
+    bits = prints.sparkSession.sparkContext.broadcast(repeated_filter(prints))
+    keyed = prints.withColumn("key", _key_column())
+    return keyed.mapInArrow(lambda x: _probe(x, bits), "_rid long, doc_id long, sha binary, key long, maybe boolean").drop("key")
+
+
+def _groups(again: DataFrame) -> DataFrame:
+    return again.groupBy("sha").agg(F.max(F.struct("doc_id", "_rid")).alias("top"), F.count("*").alias("group_size"))
+
+
 def decide(prints: DataFrame) -> DataFrame:
     """_rid, doc_id, sha, keep_id, group_size, kept of every row of fingerprints()."""
-    spark = prints.sparkSession
-    bits = spark.sparkContext.broadcast(repeated_filter(prints))
-    keyed = prints.withColumn("key", _key_column())
-    probed = keyed.mapInArrow(lambda x: _probe(x, bits), "_rid long, doc_id long, sha binary, key long, maybe boolean").drop("key")
+    probed = _probed(prints)
     alone = probed.where("not maybe").select("_rid", "doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     again = common.materialise(probed.where("maybe").drop("maybe"), "repeated")
-    groups = again.groupBy("sha").agg(F.max(F.struct("doc_id", "_rid")).alias("top"), F.count("*").alias("group_size"))
-    decided = common.attach(again, groups, "sha", "group_size", again.count()).select("_rid", "doc_id", "sha", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("_rid") == F.col("top._rid")).alias("kept"))
+    decided = common.attach(again, _groups(again), "sha", "group_size", again.count())
+    decided = decided.select("_rid", "doc_id", "sha", F.col("top.doc_id").alias("keep_id"), "group_size", (F.col("_rid") == F.col("top._rid")).alias("kept"))
     return alone.unionByName(decided)
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, all columns as they were.
 
-    Only rows that may be repeated are shuffled with their texts."""
-    return common.renamed(docs, _deduped)
-
-
-def _deduped(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
-    prints = fingerprints(docs)
-    bits = spark.sparkContext.broadcast(repeated_filter(prints))
-    keyed = prints.withColumn("key", _key_column())
-    again = common.materialise(keyed.mapInArrow(lambda x: _probe(x, bits), "_rid long, doc_id long, sha binary, key long, maybe boolean").where("maybe").select("_rid", "doc_id", "sha"), "repeated")
-    top = again.groupBy("sha").agg(F.max(F.struct("doc_id", "_rid")).alias("top"), F.count("*").alias("n"))
-    stays = top.select(F.col("top._rid").alias(common.RID))
-    # A row's own digest decides whether it passes: the same test as above, over whole rows.
-    whole = common.with_row_id(docs).withColumn("__dedup_text", common.text_of())
-    tagged = whole.mapInArrow(_key_rows(bits), common.extended(docs.schema, **{common.RID: T.LongType(), "__dedup_maybe": T.BooleanType()}))
-    same = common.quoted(docs.columns)
-    return tagged.where("not __dedup_maybe").select(*same).unionByName(tagged.where("__dedup_maybe").join(stays, common.RID, "left_semi").select(*same))
-
-
-def _key_rows(bits):
-    """Rows with ``__dedup_maybe``; the key is Spark's xxHash64 (seed 42) of the digest."""
-
-    def run(batches):
-        import xxhash
-
-        bitmap = np.frombuffer(bits.value, np.uint8)
-        for b in batches:
-            at = b.schema.get_field_index("__dedup_text")
-            keys = np.array([xxhash.xxh64_intdigest(x, 42) for x in _digests(b.column(at))], np.uint64)
-            rest = [k for k in range(b.num_columns) if k != at]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in rest), pa.array(bloom.test(bitmap, keys))], names=[*(b.schema.names[k] for k in rest), "__dedup_maybe"])
-
-    return run
+    Digests of rows that may be repeated are shuffled; the rows themselves only lose
+    those whose numbers aren't kept (``common.but_for``)."""
+    numbered = common.with_row_id(docs)
+    again = common.materialise(_probed(_fingerprints(numbered)).where("maybe").drop("maybe"), "repeated")
+    decided = common.attach(again, _groups(again), "sha", "group_size", again.count())
+    gone = common.materialise(decided.where(F.col("_rid") != F.col("top._rid")).select(F.col("_rid").alias(common.RID)), "gone")
+    return common.but_for(numbered, gone)
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,13 +187,18 @@ def links(rows: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return common.with_row_id(docs, "rid").select("rid", F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
+    return _numbered_rows(common.with_row_id(docs))
+
+
+def _numbered_rows(numbered: DataFrame) -> DataFrame:
+    return numbered.select(F.col(common.RID).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One row of each class, all columns as they were."""
-    gone = common.materialise(links(_rows(docs)).where("not kept").select(F.col("rid").alias(common.RID)), "gone")
-    return common.but_for(docs, gone)
+    numbered = common.with_row_id(docs)
+    gone = common.materialise(links(_numbered_rows(numbered)).where("not kept").select(F.col("rid").alias(common.RID)), "gone")
+    return common.but_for(numbered, gone)
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
