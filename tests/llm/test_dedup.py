@@ -247,3 +247,55 @@ def test_op10_odd_rows(odd, empty, make):
     text = prose(random.Random(1), 80) + " é😀"
     twice = chunk_dedup.repeated(rows(make([(1, text), (1, text), (2, "x")]))).collect()
     assert [(r.doc_id, r.start, r.end) for r in twice] == [(1, 0, len(text))] * 2 and sorted(r.is_first for r in twice) == [False, True]
+
+
+def _left(rows, spans):
+    """(text number, digest) of the chunks that stay when the spans that aren't first go, and of those that go."""
+    stay, gone = set(), set()
+    for k, (_, text) in enumerate(rows):
+        raw, at = text.encode(), 0
+        own = [(a, b) for r, a, b in spans if r == k]
+        for e in chunk_dedup.chunks(raw)[0].tolist():
+            a, b = len(raw[:at].decode(errors="ignore")), len(raw[:e].decode(errors="ignore"))
+            (gone if any(x <= a and b <= y for x, y in own) else stay).add(raw[at:e])
+            at = e
+    return stay, gone
+
+
+def _numbered(spark, rows):
+    return spark.createDataFrame([(k, i, t) for k, (i, t) in enumerate(rows)], "rid long, doc_id long, text string")
+
+
+def test_op10_what_is_dropped_stays_elsewhere(spark):
+    rng = random.Random(21)
+    x, y, z = prose(rng, 160), prose(rng, 70), prose(rng, 90)
+    rows = [(1, f"{prose(rng, 30)} {x}"), (2, f"{x} {y}"), (3, f"{x} {y}"), (4, f"{y} {z} {prose(rng, 20)}"), (5, f"{z} {x} {z}"), (None, x), (5, y)]
+    passages = [prose(rng, rng.randint(20, 120)) for _ in range(30)]
+    for k in range(120):
+        rows.append((10 + k // 2, " ".join([prose(rng, rng.randint(0, 40)), *rng.sample(passages, rng.randint(1, 4))])))
+    got = chunk_dedup.repeated(_numbered(spark, rows)).collect()
+    stay, gone = _left(rows, [(r.rid, r.start, r.end) for r in got if not r.is_first])
+    assert gone and gone <= stay
+    # X came first in document 1, Y in document 2
+    assert {(r.doc_id, r.first_doc_id) for r in got if r.rid == 1} == {(2, 1), (2, 2)} and {r.first_doc_id for r in got if r.rid == 2} == {1, 2}
+    assert not any(r.is_first for r in got if r.rid in (2, 5))
+    for r in got:
+        assert r.is_first <= (r.doc_id == r.first_doc_id) and 0 <= r.start < r.end <= len(rows[r.rid][1])
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.rid].append((r.start, r.end))
+    assert all(a[1] <= b[0] for own in by.values() for a, b in zip(sorted(own), sorted(own)[1:], strict=False))
+
+
+def test_op10_finds_passages_of_51_words_and_leaves_short_ones(spark):
+    rng = random.Random(22)
+    rows, long = [], set()
+    for k in range(1500):
+        p = prose(rng, 51 if k % 2 else rng.randint(20, 35))
+        for _ in range(2):
+            if k % 2:
+                long.add(len(rows))
+            rows.append((len(rows), f"{prose(rng, 20)} {p} {prose(rng, 20)}"))
+    found = {r.rid for r in chunk_dedup.repeated(_numbered(spark, rows)).collect()}
+    short = set(range(len(rows))) - long
+    assert len(found & long) >= 0.998 * len(long) and len(found & short) <= 0.02 * len(short)
