@@ -4,12 +4,14 @@ Texts are sets of five-word shingles; two are linked at a Jaccard similarity of
 or more. Bands and rows are chosen so that a pair at the threshold shares a band with
 the target recall (0.999). Rows with one set ("copies") are represented by one of
 them. Representatives are shuffled by band hash; each bucket ties its members to its
-least one, the ties' components are the candidates' groups, and each group's texts are
-brought together once and every pair in it is verified on the full sets, by
-matrix products over the shingles that occur twice. Groups of more than ``BLOCK``
-texts are dealt into pairs of blocks, so no task gathers a group; groups beyond
-``WIDE`` texts are verified bucket by bucket in such blocks, a pair counting in the
-first band that it shares. Tasks return counts of links and a forest of them, so what
+least one, and the ties' components are the candidates' groups. Every pair in a group is
+verified on the full sets. A group's texts meet its first one ("base") in parts of
+``PART`` rows, once; from there on a set is its size and its difference from the base's,
+which loses nothing (the difference of two sets is that of their differences) and is
+small for near copies. Blocks of at most ``BLOCK`` texts and some ``BLOCK_BYTES`` of differences are
+paired, so no task gathers a group, and pairs come from matrix products over what
+occurs twice among the differences; groups beyond ``WIDE`` texts are verified bucket by
+bucket in such blocks, a pair counting in the first band that it shares. Tasks return counts of links and a forest of them, so what
 they emit grows with the texts, not with the pairs, and no link is lost.
 
 Result: per row its class (least doc_id among those connected by links), the size of the
@@ -36,7 +38,8 @@ from . import caches, common, shingles
 from .components import components
 
 THRESHOLD = 0.8
-BLOCK = 256
+BLOCK, BLOCK_BYTES = 256, 8 << 20
+PART = 2048
 WIDE = 8192
 
 
@@ -58,11 +61,11 @@ def signatures(rows: DataFrame) -> DataFrame:
     return common.materialise(rows.select("rid", "doc_id", "text").mapInArrow(_sign, "rid long, doc_id long, set binary, bands array<long>"), "signatures")
 
 
-def _pairs(rids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Whether each left text is linked to each right one."""
-    sizes = np.array([len(x) for x in sets], np.int64)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+def _pairs(rids: np.ndarray, sizes: np.ndarray, differences: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Whether each left text is linked to each right one; differences: from one base."""
+    lengths = np.array([len(x) for x in differences], np.int64)
+    owner = np.repeat(np.arange(len(differences)), lengths)
+    _, inverse, counts = np.unique(np.concatenate(differences), return_inverse=True, return_counts=True)
     common_ = counts[inverse] > 1
     column = (np.cumsum(counts > 1) - 1)[inverse[common_]]
     owner = owner[common_]
@@ -72,17 +75,19 @@ def _pairs(rids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np
     width = 4096
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         a, b = np.searchsorted(column, (at, at + width))
-        m = np.zeros((len(sets), width), np.float32)
+        m = np.zeros((len(differences), width), np.float32)
         m[owner[a:b], column[a:b] - at] = 1
         both += m[left] @ m[right].T
-    whole = sizes[left][:, None] + sizes[right][None, :] - both
-    return (both >= THRESHOLD * whole - 1e-6) & (rids[left][:, None] != rids[right][None, :])
+    apart = lengths[left][:, None] + lengths[right][None, :] - 2 * both.astype(np.int64)
+    whole = (sizes[left][:, None] + sizes[right][None, :] + apart) // 2
+    return (whole - apart >= THRESHOLD * whole - 1e-6) & (rids[left][:, None] != rids[right][None, :])
 
 
 def _verify_group(rows: list[dict]):
     rids = np.array([x["rid"] for x in rows], np.int64)
     weight = np.array([x["copies"] for x in rows], np.int64)
-    sets = [shingles.distinct(x["text"]) for x in rows]
+    sizes = np.array([x["n"] for x in rows], np.int64)
+    differences = [np.frombuffer(x["difference"], np.uint64) for x in rows]
     block = np.array([x["block"] for x in rows])
     if rows[0]["i"] == rows[0]["j"]:
         left = right = np.arange(len(rows))
@@ -90,7 +95,7 @@ def _verify_group(rows: list[dict]):
         left, right = np.flatnonzero(block == rows[0]["i"]), np.flatnonzero(block == rows[0]["j"])
     if not len(left) or not len(right):
         return
-    linked = _pairs(rids, sets, left, right)
+    linked = _pairs(rids, sizes, differences, left, right)
     band = rows[0]["band"]
     new = linked
     if band > 0:  # pairs that share an earlier band were counted there
@@ -115,7 +120,7 @@ def _verify_group(rows: list[dict]):
 
 def _verify(batches):
     """Rows come sorted by group and pair of blocks."""
-    caches.only("shingles")
+    caches.only()
 
     def rows():
         for b in batches:
@@ -134,20 +139,57 @@ def _links(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(3)], names=["rid", "links", "root"])
 
 
+DIFFERENCE = "rid long, gid long, n int, difference binary"
+
+
+def _differ(batches):
+    """Rows come sorted by group and part, the base (its rid is null) before the others."""
+    caches.only("shingles")
+    base = np.empty(0, np.uint64)
+    for b in batches:
+        out: dict[str, list] = {x.split()[0]: [] for x in DIFFERENCE.split(", ")}
+        for gid, rid, text in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            own = shingles.distinct(text)
+            if rid is None:
+                base = own
+            else:
+                for x, v in zip(out.values(), (rid, gid, len(own), np.setxor1d(own, base, assume_unique=True).tobytes()), strict=True):
+                    x.append(v)
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)})
+
+
+def _differences(sized: DataFrame, rows: DataFrame) -> DataFrame:
+    """rid, gid, n (size of the set), difference (from that of the group's first text), written down.
+
+    sized: gid (the least rid of the group), rid, size."""
+    parts = F.ceil(F.col("size") / PART).cast("int")
+    held = sized.withColumn("part", F.pmod(F.xxhash64("rid"), parts).cast("int")).withColumn("parts", parts)
+    texts = common.materialise(rows.select("rid", "text").join(held, "rid").select("gid", "rid", "part", "parts", "text"), "group-texts")
+    bases = texts.where("rid = gid").select("gid", F.lit(None).cast("long").alias("rid"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "text")
+    dealt = texts.select("gid", "rid", "part", "text").unionByName(bases).repartition("gid", "part").sortWithinPartitions("gid", "part", F.col("rid").asc_nulls_first())
+    return common.materialise(dealt.select("gid", "rid", "text").mapInArrow(_differ, DIFFERENCE), "differences")
+
+
 def _blocks(members: DataFrame) -> DataFrame:
-    """members: gid, band, rid, size. A row for each pair of blocks that the member is in.
+    """members: gid, band, rid, size and bytes of the group. A row for each pair of blocks that the member is in.
 
     Blocks are dealt by a hash, so their number alone is needed, not their order."""
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
+    n = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
     dealt = members.withColumn("n", n).withColumn("block", F.pmod(F.xxhash64("rid"), F.col("n")).cast("int"))
     other = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return other.select("gid", "band", "rid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
-def _verified(members: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+def _summed(members: DataFrame, total: int) -> DataFrame:
+    """members (gid, band, rid, size, weight) with ``bytes``, the sum of the group's weights."""
+    groups = members.groupBy("gid").agg(F.sum("weight").alias("bytes"), F.max("size").alias("_size"))
+    return common.attach(members, groups, "gid", "_size", total)
+
+
+def _verified(members: DataFrame, reps: DataFrame, differences: DataFrame) -> DataFrame:
     """rid, links, root of the links within the members' groups."""
     held = members.join(reps.select("rid", "copies", "bands"), "rid")
-    rows = held.join(texts.select("rid", "text"), "rid").select("gid", "band", "i", "j", "block", "rid", "copies", "bands", "text")
+    rows = held.join(differences.select("rid", F.col("n").cast("long").alias("n"), "difference"), "rid").select("gid", "band", "i", "j", "block", "rid", "copies", "bands", "n", "difference")
     dealt = rows.repartition("gid", "band", "i", "j").sortWithinPartitions("gid", "band", "i", "j")
     return dealt.mapInArrow(_verify, "rid long, links long, root long")
 
@@ -166,12 +208,14 @@ def links(rows: DataFrame) -> DataFrame:
     groups = components(ties.select(F.col("rid").alias("a"), F.col("low").alias("b")))
     sizes = groups.groupBy("component").agg(F.count("*").alias("size"))
     sized = common.materialise(common.attach(groups, sizes, "component", "size", total).select(F.col("component").alias("gid"), F.col("node").alias("rid"), "size"), "groups")
-    members = _blocks(sized.where(F.col("size") <= WIDE).withColumn("band", F.lit(-1)))
-    wide = sized.where(F.col("size") > WIDE).select("rid")
+    differences = _differences(sized, rows)
+    weighed = sized.join(differences.select("rid", F.length("difference").cast("long").alias("weight")), "rid")
+    members = _blocks(_summed(weighed.where(F.col("size") <= WIDE).withColumn("band", F.lit(-1)), total))
+    wide = weighed.where(F.col("size") > WIDE).select("rid", "weight")
     if wide.take(1):
-        members = members.unionByName(_blocks(ties.join(wide, "rid", "left_semi").select(F.col("hash").alias("gid"), F.col("band").cast("int").alias("band"), "rid", "size")))
-    texts = rows.join(sized.select("rid"), "rid", "left_semi")
-    found = common.materialise(_verified(members, reps, texts), "links")
+        buckets = ties.join(wide, "rid").select(F.col("hash").alias("gid"), F.col("band").cast("int").alias("band"), "rid", "size", "weight")
+        members = members.unionByName(_blocks(_summed(buckets, total * shingles.MinHash(THRESHOLD).bands)))
+    found = common.materialise(_verified(members, reps, differences), "links")
     classes = common.materialise(components(found.select(F.col("rid").alias("a"), F.col("root").alias("b"))), "classes")
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
     labelled = (

@@ -299,3 +299,11 @@ def test_op10_finds_passages_of_51_words_and_leaves_short_ones(spark):
     found = {r.rid for r in chunk_dedup.repeated(_numbered(spark, rows)).collect()}
     short = set(range(len(rows))) - long
     assert len(found & long) >= 0.998 * len(long) and len(found & short) <= 0.02 * len(short)
+
+
+def test_op4_blocks_by_bytes_and_parts(make, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(near_dedup, "PART", 3)
+    rows = _near_rows(random.Random(11), groups=5, size=9, n=150)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_dedup.links(near_dedup._rows(make(rows))).collect()}
+    assert got == _brute(_sets(rows))
