@@ -14,6 +14,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -72,28 +73,47 @@ def _chunks(keys: np.ndarray, size: int, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"chunk": pa.array(out["chunk"], pa.int64()), "once": out["once"], "twice": out["twice"]})
 
 
-def _merge(_, table):
-    once = twice = np.zeros(CHUNK_BITS // 8, np.uint8)
-    for o, t in zip(table["once"].to_pylist(), table["twice"].to_pylist(), strict=True):
-        o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
-        once, twice = once | o, twice | t | (once & o)
-    return pa.table({"chunk": table["chunk"][:1], "bits": pa.array([zlib.compress(twice.tobytes(), 1)], pa.binary())})
+#: Parts that a chunk's rows are merged in before they meet.
+PARTS = 64
+MERGED = "chunk long, once binary, twice binary"
+
+
+def _merge(batches):
+    """One row for each run of a chunk's rows; they come sorted, and one pair of bitmaps is held at a time."""
+    chunk, once, twice = None, np.empty(0, np.uint8), np.empty(0, np.uint8)
+
+    def row():
+        packed = [pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (once, twice)]
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *packed], names=["chunk", "once", "twice"])
+
+    for b in batches:
+        for c, o, t in zip(*(b.column(x).to_pylist() for x in ("chunk", "once", "twice")), strict=True):
+            o, t = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (o, t))
+            if c == chunk:
+                once, twice = once | o, twice | t | (once & o)
+            else:
+                if chunk is not None:
+                    yield row()
+                chunk, once, twice = c, o, t
+    if chunk is not None:
+        yield row()
 
 
 def build(keys: DataFrame, n: int, least: int = 2, per_key: int = 12) -> bytes:
     """The bitmap of cells at ``twice`` over keys' one long column; at most 32 MiB.
 
-    A task sends the chunks it met, and chunks are merged by their number: what
-    one merge reads is bounded by the number of tasks. least=2: keys that may
-    occur twice; least=1: keys that may occur at all.
+    A task sends the chunks it met. They are merged as they stream by, in ``PARTS``
+    parts first, so a merge holds one chunk whatever the number of tasks. least=2:
+    keys that may occur twice; least=1: keys that may occur at all.
     """
     size = cells(n, per_key)
     common.prepare(keys.sparkSession)
-    sent = keys.mapInArrow(lambda x: _sparse(x, size, least), "chunk long, once binary, twice binary")
-    merged = sent.groupBy("chunk").applyInArrow(_merge, "chunk long, bits binary")
+    sent = keys.mapInArrow(lambda x: _sparse(x, size, least), MERGED).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    parts = sent.repartition("chunk", "part").sortWithinPartitions("chunk", "part").select("chunk", "once", "twice").mapInArrow(_merge, MERGED)
+    merged = parts.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_merge, MERGED).select("chunk", "twice")
     out = np.zeros(size // 8, np.uint8)
     for row in merged.toLocalIterator():
-        bits = np.frombuffer(zlib.decompress(row.bits), np.uint8)
+        bits = np.frombuffer(zlib.decompress(row.twice), np.uint8)
         out[row.chunk * (CHUNK_BITS // 8) :][: len(bits)] = bits
     return out.tobytes()
 
