@@ -319,3 +319,37 @@ def test_op8_equals_exact_containment(spark):
 
 def test_words_of_the_prose_are_plain():
     assert all(w.isalpha() for w in WORDS)
+
+
+def test_op8_bands_retrieve_what_is_contained():
+    scan = licenses.Scanner()
+    rng = random.Random(31)
+    met = asked = 0
+    for _ in range(40):
+        for k, (name, text) in enumerate(scan.names):
+            words = text.split()
+            for at in rng.sample(range(len(words)), rng.choice((0, 0, 1, max(1, len(words) // 50)))):
+                words[at] = rng.choice(WORDS)
+            whole = " ".join([prose(rng, rng.choice((0, 5, 300))), *words, prose(rng, rng.choice((0, 40)))])
+            own = shingles.sequence(shingles.word_hashes(whole))
+            if len(np.intersect1d(own, scan.sets[k])) >= 0.8 * len(scan.sets[k]):
+                asked += 1
+                met += any(i == k for i, _, _ in scan.retrieved(own))
+    assert asked > 500 and met >= 0.999 * asked
+
+
+def test_op8_nothing_is_found_without_a_shared_band(monkeypatch):
+    scan = licenses.Scanner()
+    text = licenses.TEMPLATES["unlicense"][1]
+    assert [x[0] for x in scan.scan(text)] == ["unlicense"]
+    monkeypatch.setattr(scan, "_looked_up", lambda size, keys: set())
+    assert scan.scan(text) == []
+
+
+def test_op8_tells_licenses_apart():
+    scan = licenses.Scanner()
+    rng = random.Random(5)
+    for name in ("bsd-2-clause", "bsd-3-clause", "isc", "mit", "zlib", "bsl-1.0", "agpl-3.0", "lgpl"):
+        text = licenses.TEMPLATES[name][-1]
+        found = scan.scan(f"{prose(rng, 5000)} {text} {prose(rng, 50)}")
+        assert {x[0] for x in found} == {name} and found[0][1] == 1, (name, found)
