@@ -1,16 +1,23 @@
 """Operator 3: mixture-controlled packing by deficit round-robin over source queues.
 
 Documents are cut into packets of at most one sequence. Each source is a queue of
-packets; in every window a source's deficit grows by its share of the window's
-tokens, and packets are served while the deficit covers them; what is left is
-carried into the next window. As all queues hold rows from the start, the packet
-that ends at token e of its source's queue is served in window ceil(e / quantum),
+packets with a share of the tokens. In every round a queue's deficit grows by its
+share of ``length / ROUNDS`` tokens, and packets are served while the deficit covers
+them; what is left is carried into the next round. As all queues hold rows from the start,
+the packet that ends at token e of its queue is served in round ceil(e / quantum),
 so the rounds need no loop: a queue's running sums give them, and deficits carry
-across windows and partitions alike. Served packets, window by window, form one
-stream that is cut every ``length`` tokens; only the last sequence has padding.
-
-Shares are the corpus' own by default, which keeps the mixture to the end; with
-other targets, a queue that drains leaves its share to the rest.
+across rounds, windows and partitions alike. Packets in the order of rounds form one stream
+that is cut every ``length`` tokens, and ``window_sequences`` sequences are a window: every
+window but the last is full, holds the targets' proportions to about a packet a source, and mixes the
+sources within its sequences. A queue that drains takes part in no further round, so the
+others fill the windows in the proportions of their own shares. Only the last
+sequence has padding.
+
+Targets are shares by source, or a power: each source's share goes with its tokens to
+that power (1: the corpus' own mixture, kept to the end; below, small sources
+come earlier; ``TEMPER`` in the query and the pipeline). Sources without a target share one
+queue, which gets what the targets leave, or comes last. At most ``MOST_QUEUES`` sources, the
+largest, have queues of their own; the others' packets share one.
 
 Running sums are taken in two steps (within a block, over the blocks' totals), so
 that no task sorts a whole source or the whole stream.
@@ -35,8 +42,10 @@ from pyspark.sql import functions as F
 from . import common, tokens
 
 LENGTH = 2048
-#: Windows that one task orders.
-BAND = 64
+ROUNDS, MOST_QUEUES, TEMPER = 8, 256, 0.7
+#: Sequences, about, that one task orders.
+BAND = 1024
+NULL, REST = "\0null", "\0rest"
 
 
 def _encode(batches, tokenizer: str, end_id: int, call: str):
@@ -71,41 +80,63 @@ def _before(df: DataFrame, block: list, order: list, value: str, within: list, o
     return inner.join(bases, [*within, *block]).withColumn(out, F.col("_base") + F.col("_inner")).drop("_base", "_inner")
 
 
-def _share(targets: Mapping[str, float] | None) -> Column:
-    """A queue's share: as targets say (nearly none for others), else all its tokens."""
-    if targets is None:
-        return F.col("whole").cast("double")
-    given = F.lit(1e-6)
-    for queue, share in targets.items():
-        given = F.when((F.col("queue") == queue) & F.lit(share > 0), F.lit(float(share))).otherwise(given)
-    return given
-
-
-def plan(encoded: DataFrame, length: int = LENGTH, window_sequences: int = 64, targets: Mapping[str, float] | None = None) -> DataFrame:
+def queues(encoded: DataFrame, targets: Mapping[str, float] | float | None) -> list[tuple[str, int, float]]:
+    """(queue, tokens, share) of at most MOST_QUEUES sources and the rest."""
+    own = F.coalesce("source", F.lit(NULL))
+    if isinstance(targets, Mapping):
+        own = F.when(own.isin([x for x, share in targets.items() if share > 0]), own).otherwise(REST)
+    totals = encoded.groupBy(own.alias("queue")).agg(F.sum("n").alias("n"))
+    held = [(r.queue, r.n) for r in totals.where(F.col("queue") != REST).orderBy(F.desc("n"), "queue").limit(MOST_QUEUES).collect()]
+    rest = (totals.agg(F.sum("n")).first()[0] or 0) - sum(n for _, n in held)
+    if isinstance(targets, Mapping):
+        left = max(1 - sum(x for x in targets.values() if x > 0), 1e-9)
+        shares = [float(targets[q]) for q, _ in held]
+    else:
+        power = 1.0 if targets is None else float(targets)
+        left, shares = float(rest) ** power, [float(n) ** power for _, n in held]
+    found = [(q, n, share) for (q, n), share in zip([*held, (REST, rest)], [*shares, left], strict=True) if n]
+    whole = sum(share for *_, share in found)
+    return [(q, n, share / whole) for q, n, share in found]
+
+
+def _served(level: Column, held: list[tuple[str, int, float]]) -> Column:
+    """Tokens that all queues have been served when those that haven't drained had ``level`` times their share."""
+    ends = sorted((n / share, n, share) for _, n, share in held)
+    done, open_, out = 0, sum(share for *_, share in ends), None
+    for end, n, share in ends:
+        part = F.lit(float(done)) + level * F.lit(open_)
+        out = F.when(level <= end, part) if out is None else out.when(level <= end, part)
+        done, open_ = done + n, max(open_ - share, 0.0)
+    return F.lit(0.0) if out is None else out.otherwise(F.lit(float(done)))
+
+
+def plan(encoded: DataFrame, length: int = LENGTH, window_sequences: int = 64, targets: Mapping[str, float] | float | None = None) -> DataFrame:
     """rid, start, length, sequence_id, offset, window of every piece."""
-    lens = encoded.select("rid", F.coalesce("source", F.lit("\0null")).alias("queue"), "n", F.shiftright("rid", 33).alias("split"))
-    placed = _before(lens, ["split"], ["rid"], "n", ["queue"], "at")
-    share = _share(targets)
-    whole = lens.groupBy("queue").agg(F.sum("n").alias("whole")).agg(F.sum(share)).first()[0] or 1.0
-    quantum = share / whole * float(length * window_sequences)
+    held = queues(encoded, targets)
+    own = F.coalesce("source", F.lit(NULL))
+    queue = F.when(own.isin([q for q, *_ in held]), own).otherwise(REST)
+    known = encoded.sparkSession.createDataFrame([(q, share) for q, _, share in held], "queue string, share double")
+    lens = encoded.select("rid", queue.alias("queue"), "n", F.shiftright("rid", 33).alias("split"))
+    placed = _before(lens, ["split"], ["rid"], "n", ["queue"], "at").join(F.broadcast(known), "queue")
+    quantum = F.col("share") * F.lit(length / ROUNDS)
     packets = (
-        placed.withColumn("quantum", quantum)
-        .withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {length}"))))
+        placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {length}"))))
         .withColumn("start", F.col("k") * length)
         .withColumn("size", F.least(F.lit(length).cast("long"), F.col("n") - F.col("start")))
         .withColumn("until", F.col("at") + F.col("start") + F.col("size"))
-        .withColumn("window", F.ceil(F.col("until") / F.col("quantum")))
-        .select("rid", "queue", "start", "size", "until", "window", F.expr(f"window div {BAND}").alias("band"))
+        .withColumn("round", F.ceil(F.col("until") / quantum))
+        .select("rid", "queue", "start", "size", "until", "round", F.floor(_served(F.col("round") * F.lit(length / ROUNDS), held) / (length * BAND)).alias("band"))
     )
-    stream = _before(packets, ["band"], ["window", "queue", "until"], "size", [], "place")
+    stream = _before(packets, ["band"], ["round", "queue", "until"], "size", [], "place")
     first = F.least(F.col("size"), length - F.col("place") % length)
     cut = F.array(
         F.struct(F.col("start"), first.alias("length"), F.col("place")),
         F.struct((F.col("start") + first).alias("start"), (F.col("size") - first).alias("length"), (F.col("place") + first).alias("place")),
     )
     return (
-        stream.select("rid", "window", F.explode(F.filter(cut, lambda x: x["length"] > 0)).alias("p"))
-        .select("rid", F.col("p.start").alias("start"), F.col("p.length").alias("length"), F.expr(f"p.place div {length}").alias("sequence_id"), (F.col("p.place") % length).alias("offset"), "window")
+        stream.select("rid", F.explode(F.filter(cut, lambda x: x["length"] > 0)).alias("p"))
+        .select("rid", F.col("p.start").alias("start"), F.col("p.length").alias("length"), F.expr(f"p.place div {length}").alias("sequence_id"), (F.col("p.place") % length).alias("offset"))
+        .withColumn("window", F.expr(f"sequence_id div {window_sequences}"))
     )
 
 
@@ -125,7 +156,7 @@ def _cut(batches, width: str, with_ids: bool):
         yield pa.RecordBatch.from_pydict({x: pa.array(v, {"source": pa.string(), "ids": pa.binary()}.get(x, pa.int64())) for x, v in out.items()})
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, window_sequences: int = 64, targets: Mapping[str, float] | None = None, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, length: int = LENGTH, window_sequences: int = 64, targets: Mapping[str, float] | float | None = None, with_ids: bool = True) -> DataFrame:
     """Pieces of all documents with their ids (none if not with_ids) and places."""
     encoded = encode(docs, tokenizer, end_id)
     width = tokens.encoder(tokenizer).width
@@ -141,5 +172,5 @@ def padded_length(tokens_held: int, length: int = LENGTH) -> int:
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract query: every piece of every document, end id 1."""
-    pieces = pack(common.table(spark, sf_dir, "documents"), tokens.tokenizer_path(), 1, with_ids=False)
+    pieces = pack(common.table(spark, sf_dir, "documents"), tokens.tokenizer_path(), 1, targets=TEMPER, with_ids=False)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "window")

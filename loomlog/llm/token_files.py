@@ -8,9 +8,11 @@ a footer (count of frames, descriptor with the checksum bit, magic number). This
 is the public seekable layout, so that plain decoders read the files too, and a
 reader finds a document by the footer, the table and one frame.
 
-Documents are dealt to files by ranges of doc_id and sorted, so names in order
+Documents are dealt to files by ranges of doc_id (and of the text's hash, should
+many rows have one doc_id) and sorted, so names in order
 give ascending ids. A file is written under a name of the attempt and renamed
-when it is whole; a repeated attempt writes the same bytes.
+when it is whole; a repeated attempt writes the same bytes. Drafts of lost attempts have
+names that begin with a dot, and ``sweep`` removes them when the files are written.
 
 Null texts count as empty and have the end id alone; null doc_ids come first;
 repeated doc_ids are all written, in an order of their texts' hashes; an empty
@@ -139,6 +141,21 @@ class Reader:
                 yield doc_id, data[4 * at : 4 * (at + n)]
 
 
+def _publish(system, draft: str, path: str) -> None:
+    """Give a whole file its name. Where a lost attempt has left it there, it is the same bytes,
+    and file systems that don't rename onto a file keep that one."""
+    from pyarrow import fs
+
+    try:
+        system.move(draft, path)
+    except OSError:
+        there, own = system.get_file_info([path, draft])
+        if there.type != fs.FileType.File or own.type == fs.FileType.File and there.size != own.size:
+            raise
+        if own.type == fs.FileType.File:
+            system.delete_file(draft)
+
+
 def _write(batches, folder: str, tokenizer: str, end_id: int, frame_bytes: int, call: str):
     from pyarrow import fs
 
@@ -162,7 +179,7 @@ def _write(batches, folder: str, tokenizer: str, end_id: int, frame_bytes: int,
     if writer is not None:
         writer.close()
         out.close()
-        system.move(draft, f"{base}/{name}")
+        _publish(system, draft, f"{base}/{name}")
         yield pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "part": pa.array([task.partitionId()], pa.int32()), "docs": [docs], "tokens": [total]})
 
 
@@ -171,11 +188,28 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     common.prepare(docs.sparkSession)
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text"))
-        .repartitionByRange(F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        .withColumn("hash", F.xxhash64("text"))
+        .repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("hash"))
+        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("hash"))
+        .select("doc_id", "text")
     )
     call = uuid.uuid4().hex
-    return common.materialise(ordered.mapInArrow(lambda x: _write(x, folder, tokenizer, end_id, frame_bytes, call), MANIFEST), "manifest")
+    manifest = common.materialise(ordered.mapInArrow(lambda x: _write(x, folder, tokenizer, end_id, frame_bytes, call), MANIFEST), "manifest")
+    sweep(folder)
+    return manifest
+
+
+def sweep(folder: str) -> int:
+    """Remove what attempts that didn't end have left in the folder, and count it."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    if system.get_file_info([base])[0].type != fs.FileType.Directory:
+        return 0
+    drafts = [x.path for x in system.get_file_info(fs.FileSelector(base)) if x.base_name.startswith(".part-")]
+    for path in drafts:
+        system.delete_file(path)
+    return len(drafts)
 
 
 def _open(uri: str):

@@ -87,11 +87,24 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+#: The normaliser and the pre-tokenizer of the tokenizer files that the cache holds for.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 def _splits_at_spaces(spec: dict) -> bool:
-    """Whether the file describes a tokenizer for which the cache holds: white
-    space removed by a split on runs, lower case, no prefix space."""
-    text = json.dumps([spec.get("normalizer"), spec.get("pre_tokenizer")])
-    return '"ByteLevel"' in text and '"Lowercase"' in text and '"Removed"' in text and '"add_prefix_space": false' in text
+    """Whether the file's tokenizer is the one that the cache holds for: any other
+    normaliser, pre-tokenizer, kind of model or added token goes by the library alone."""
+    model = spec.get("model") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "byte_fallback", "unk_token"))
+    added = all(not x.get(k) for x in spec.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    return plain and added and not spec.get("truncation") and spec.get("normalizer") == _NORMALIZER and spec.get("pre_tokenizer") == _PRE_TOKENIZER
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -101,8 +114,8 @@ caches.register("tokens", _encoders.clear)
 def encoder(path: str, call: str = "") -> Encoder:
     """One for each worker process, file and call of an operator.
 
-    A new call starts with an empty cache, so what a call costs doesn't depend on
-    what ran in the worker before."""
+    A new call starts with an empty cache: a reused worker would else hold the words of
+    all corpora that it has met."""
     caches.only("tokens")
     if (path, call) not in _encoders:
         _encoders.clear()

@@ -190,3 +190,78 @@ def test_op3_odd_rows(spark, odd, empty, plain):
             assert ids == [*plain(text), 1]
     assert packing.pack(empty, PATH, 1).count() == 0
     assert [packing.padded_length(x) for x in (1, 5, 1024, 2047, 2048)] == [1, 2048, 1024, 2048, 2048]
+
+
+def test_op3_windows_stay_full_when_queues_drain(make):
+    rng = random.Random(7)
+    rows = [(k, prose(rng, rng.randint(5, 120)), s) for k, s in enumerate(["big"] * 500 + ["mid"] * 200 + ["small"] * 60 + ["none"] * 40)]
+    for targets in ({"big": 0.2, "mid": 0.4, "small": 0.4}, 0.5):
+        pieces = packing.pack(make(rows), PATH, 1, 64, 32, targets).collect()
+        windows, sequences = collections.defaultdict(collections.Counter), collections.defaultdict(set)
+        for p in pieces:
+            windows[p.window][p.source] += p.length
+            sequences[p.sequence_id].add(p.source)
+        assert all(sum(windows[w].values()) == 64 * 32 for w in windows if w != max(windows))
+        if targets != 0.5:
+            last = max(w for w in windows if windows[w]["small"])
+            between = [w for w in windows if last < w < max(w for w in windows if windows[w]["mid"])]
+            assert len(between) > 2 and all(abs(windows[w]["mid"] - 2 / 3 * 64 * 32) <= 2 * 64 for w in between)
+            assert min(w for w in windows if windows[w]["none"]) >= max(w for w in windows if windows[w]["big"])
+        assert sum(len(x) > 1 for x in sequences.values()) > len(sequences) / 4
+
+
+def test_op3_many_sources_share_a_queue(make, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_QUEUES", 3)
+    rng = random.Random(8)
+    rows = [(k, prose(rng, 30), f"s{k % 9}" if k % 9 else None) for k in range(200)]
+    pieces = packing.pack(make(rows), PATH, 1, 64, 4, 0.7).collect()
+    assert {p.doc_id for p in pieces} == set(range(200)) and sorted({p.sequence_id for p in pieces}) == list(range(max(p.sequence_id for p in pieces) + 1))
+
+
+def test_other_tokenizer_files_go_by_the_library(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert tokens._splits_at_spaces(spec)
+    spec["normalizer"]["normalizers"].append({"type": "StripAccents"})
+    path = str(tmp_path / "t.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    encoder, whole = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert not encoder.split
+    for text in TRICKY:
+        assert _ids(encoder.encode(text)) == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_op9_an_earlier_attempts_file_stands(tmp_path):
+    from pyarrow import fs
+
+    class Refusing:
+        """A file system that doesn't rename onto a file."""
+
+        def __init__(self):
+            self.own = fs.LocalFileSystem()
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def move(self, a, b):
+            if self.own.get_file_info([b])[0].type == fs.FileType.File:
+                raise OSError("exists")
+            self.own.move(a, b)
+
+    system, path, draft = Refusing(), str(tmp_path / "part-0"), str(tmp_path / ".part-0.1")
+    for content in (b"same", b"same"):
+        with open(draft, "wb") as f:
+            f.write(content)
+        token_files._publish(system, draft, path)
+    with open(draft, "wb") as f:
+        f.write(b"another")
+    with pytest.raises(OSError):
+        token_files._publish(system, draft, path)
+    assert token_files.sweep(f"file://{tmp_path}") == 1 and token_files.sweep(f"file://{tmp_path}/none") == 0
+    with open(path, "rb") as f:
+        assert f.read() == b"same"
