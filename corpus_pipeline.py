@@ -38,7 +38,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences, with their ids."""
-    return packing.pack(docs, tokens.tokenizer_path(), 1)
+    return packing.pack(docs, tokens.tokenizer_path(), 1, targets=packing.TEMPER)
 
 
 STAGES = [
