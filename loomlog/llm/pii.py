@@ -129,22 +129,27 @@ def bootstrap(docs: DataFrame, raw: DataFrame, base: DataFrame, rounds: int = 3,
     A pattern needs ``support`` distinct values, whatever the size of the corpus."""
     like = common.materialise(matches(docs, {"id": CANDIDATE}, {"id": r"[A-Za-z0-9_-]{4}[0-9]|[0-9][A-Za-z0-9_-]{4}|[A-Za-z_-][0-9]"}), "pii-candidates")
     candidates = _apart(base, like)
+    found = raw.unionByName(like)
     graph = common.materialise(base.withColumn("seed", F.lit(True)).unionByName(candidates.withColumn("seed", F.lit(False))).drop("after"), "pii-graph")
     frequent = graph.groupBy("context").agg(F.countDistinct("match").alias("values"), F.max((~F.col("seed")).cast("int")).alias("leads")).where(f"values >= {support} and leads = 1")
     frequent = common.materialise(frequent.select("context"), "pii-contexts")
     if not frequent.take(1):
         return graph.where("false").select("rid", "start", "end")
-    total = common.materialise(_occurrences(docs, raw.unionByName(like), frequent), "pii-totals")
-    edges = graph.join(total, "context").groupBy("context", "total", "match", "seed").agg(F.count("*").alias("n"))
-    edges = common.materialise(edges, "pii-edges")
+    edges = common.materialise(graph.join(frequent, "context").groupBy("context", "match", "seed").agg(F.count("*").alias("n")), "pii-edges")
     scores = edges.where("seed").select("match", F.lit(1.0).alias("score")).distinct()
+    totals = None
     for _ in range(rounds):
         scored = edges.join(scores, "match", "left").withColumn("score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0))))
-        patterns = (
-            scored.groupBy("context")
-            .agg(F.least(F.lit(0.999), F.sum(F.col("n") * F.col("score")) / F.greatest(F.max("total"), F.sum("n"))).alias("weight"), F.countDistinct(F.when(F.col("score") >= threshold, F.col("match"))).alias("backed"))
-            .where(f"backed >= {support}")
-        )
+        backed = scored.groupBy("context").agg(
+            F.sum(F.col("n") * F.col("score")).alias("right"), F.sum("n").alias("own"), F.countDistinct(F.when(F.col("score") >= threshold, F.col("match"))).alias("backed")
+        )
+        backed = common.materialise(backed.where(f"backed >= {support}"), "pii-backed")
+        # only contexts that are patterns by now are counted in the corpus, each of them once
+        new = backed.select("context") if totals is None else backed.select("context").join(totals, "context", "left_anti")
+        if totals is None or new.take(1):
+            counted = common.materialise(_occurrences(docs, found, new), "pii-totals")
+            totals = counted if totals is None else totals.unionByName(counted)
+        patterns = backed.join(totals, "context").select("context", F.least(F.lit(0.999), F.col("right") / F.greatest("total", "own")).alias("weight"))
         scores = common.materialise(
             edges.join(patterns, "context").groupBy("match").agg((1 - F.exp(F.sum(F.log1p(-F.col("weight"))))).alias("score")), "pii-scores"
         )

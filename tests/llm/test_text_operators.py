@@ -353,3 +353,21 @@ def test_op8_tells_licenses_apart():
         text = licenses.TEMPLATES[name][-1]
         found = scan.scan(f"{prose(rng, 5000)} {text} {prose(rng, 50)}")
         assert {x[0] for x in found} == {name} and found[0][1] == 1, (name, found)
+
+
+def test_op6_rare_patterns_are_learnt_in_a_large_table(spark, make):
+    rng = random.Random(41)
+    names = [f"{rng.choice(WORDS)}{rng.choice(WORDS)}" for _ in range(30)]
+    rows, planted = [], {}
+    for group, (name, n) in enumerate(zip(names, [3, 10, 100] * 10, strict=True)):
+        for k in range(n):
+            rows.append((None, f"{prose(rng, 4)} the {name} number u{group}x{k}@h.example {prose(rng, 4)}"))
+        for k in range(max(1, n // 10)):
+            value = f"QX-{group}-{k}9"
+            planted[len(rows)] = value
+            rows.append((None, f"{prose(rng, 4)} the {name} number {value} {prose(rng, 4)}"))
+    rows += [(None, f"{prose(rng, 8)} m{k}@other.example {prose(rng, 3)} room {k}") for k in range(20_000)]
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    got = {r.doc_id: r.spans for r in pii.report(make(rows).repartition(8)).where(F.col("doc_id").isin(list(planted))).collect()}
+    want = {k: f"id:{rows[k][1].index(v)}:{rows[k][1].index(v) + len(v)}" for k, v in planted.items()}
+    assert sum(want[k] in got[k] for k in want) >= 0.9 * len(want)
