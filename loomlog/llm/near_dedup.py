@@ -39,7 +39,7 @@ from .components import components
 
 THRESHOLD = 0.8
 BLOCK, BLOCK_BYTES = 256, 8 << 20
-PART = 2048
+PART = 256
 WIDE = 8192
 
 
