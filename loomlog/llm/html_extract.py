@@ -1,31 +1,38 @@
-"""Operator 1: main text of web pages by frequent tokens of a host and lists of names.
+"""Operator 1: main text of web pages by equivalence classes of a host's tokens.
 
 Tokens of a page are its elements, told apart by their path (names with class and id),
-and its blocks of text. Over the pages of a host each token has an occurrence
-vector, its count on every page. The vector is summed up as a hash that adds over
-pages, so classes of tokens with one vector come from an aggregation that takes all
-pages in and needs no page twice. Classes that stand on enough of a host's pages
-are kept if they nest: an element's path must continue the path of a kept class.
-They are the host's template. Of it come the text blocks that every page repeats, and
-the slot that holds most of the text between template tokens. Both come out the same
-from single frequent tokens: the classes are counted, and decide nothing.
-
-A page's text is what stands in its article (or ``main``) or, without one, in
-its host's main slot, less the elements that are no part of an article by their name,
-role, class or id, and, outside an article, less the template's own text.
-Inside an article nothing is dropped for being frequent.
+and its blocks of text with the path they stand in. Over the pages of a host each token
+has an occurrence vector, its count on every page. Tokens with one vector are an
+equivalence class; the vector is summed up as a hash that adds over pages, so classes come
+from an aggregation that takes all pages in and gathers none. A class is a candidate
+with ``SIZE`` tokens or more on ``SUPPORT`` of the host's pages. A second pass
+over all pages tests candidates: on each page a class's tokens must come in its one
+order, over and over (ordered), and each occurrence of it must lie apart from those of another
+class or between two neighbouring tokens of one, or the other way round (nested; else
+the class on fewer pages, or with fewer tokens, is at fault). Classes that hold on ``VALID`` of their pages are the host's template, nested as they
+are. Its text tokens are the text that the template itself consists of; slots are the
+spaces in its innermost elements, and the slot that holds most text which no class
+holds is the main one.
+
+A page without an article (or ``main``) gives the text in its host's main slot, less the
+template's own text that stands on ``CONSTANT`` of the pages. In an article, a block is the
+template's if its text and its element are tokens of one class: an element that
+comes on the same pages, as often, always with that text. A line that is merely
+frequent shares its vector with no element and stays. In either case, elements that are no part
+of an article by their name, role, class or id go.
 
 Character references are decoded, white space in a block becomes one space, blocks are
 joined by a line feed. Null or empty html gives an empty text; an unfinished tag at the
-end of a page is dropped; a null url is a host of its own name (""); a host with one
-page has no template; repeated rows are each answered; an empty table gives an
-empty result; further columns are ignored.
+end of a page is dropped; a null url is a host of its own name (""); a host with fewer
+than ``LEAST_PAGES`` pages has no template; repeated rows are each answered and count in
+the vectors; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -36,8 +43,10 @@ from pyspark.sql import functions as F
 
 from . import caches, common
 
-#: Share of a host's pages that a template token stands on, and that repeat a template text.
-SUPPORT, CONSTANT, LEAST_PAGES = 0.3, 0.9, 5
+#: Share of a host's pages that a class stands on, that repeat a text left out without an article, and that a class must hold on.
+SUPPORT, CONSTANT, VALID = 0.3, 0.9, 0.95
+#: Tokens of a class; pages of a class.
+SIZE, LEAST_PAGES = 3, 5
 
 TAG = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -66,14 +75,16 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Page:
-    """One walk over a page: counts of element paths, and blocks of text."""
+    """One walk over a page: its tokens in order, counts of element paths, and blocks of text."""
 
-    __slots__ = ("paths", "blocks")
+    __slots__ = ("paths", "blocks", "order")
 
     def __init__(self, html: str):
         self.paths: dict[str, int] = defaultdict(int)
         #: (path, inside an article, left out, text)
         self.blocks: list[tuple[str, bool, bool, str]] = []
+        #: Paths of elements, and numbers of blocks.
+        self.order: list[str | int] = []
         stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
         held: list[str] = []
         owner = stack[0]
@@ -84,6 +95,7 @@ class Page:
             if held:
                 text = " ".join(entities.unescape("".join(held)).split())
                 if text:
+                    self.order.append(len(self.blocks))
                     self.blocks.append((owner[1], owner[2], owner[3], text))
                 held.clear()
 
@@ -129,6 +141,7 @@ class Page:
                 continue
             node = _node(stack[-1], name, m[3] or m[6] or "")
             self.paths[node[1]] += 1
+            self.order.append(node[1])
             if name in RAW:
                 end = re.compile(f"</{re.escape(name)}", re.I).search(html, at)
                 if not end:
@@ -153,7 +166,19 @@ def _close(stack: list, names: tuple[str, ...]) -> None:
 
 
 _nodes: dict[tuple, tuple[str, str, bool, bool]] = {}
-caches.register("nodes", _nodes.clear)
+#: Hashes of paths, and classes and templates of hosts, by call and host.
+_paths: dict[str, int] = {}
+_hosts: dict[tuple[str, str], object] = {}
+caches.register("nodes", lambda: (_nodes.clear(), _paths.clear(), _hosts.clear()))
+
+
+def _of_host(call: str, host: str, column, at: int, read):
+    """What ``read`` makes of the host's cell; cells of a host are equal within a call."""
+    if (call, host) not in _hosts:
+        if len(_hosts) >= 2000:
+            _hosts.clear()
+        _hosts[call, host] = read(column[at].as_py())
+    return _hosts[call, host]
 
 
 def _node(parent: tuple, name: str, attributes: str) -> tuple[str, str, bool, bool]:
@@ -188,84 +213,194 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text) - (1 << 63)
 
 
+def _path_hash(path: str) -> int:
+    found = _paths.get(path)
+    if found is None:
+        found = _hash(path)
+        if len(_paths) < 100_000:
+            _paths[path] = found
+    return found
+
+
+def _text_hash(path: str, text: str) -> int:
+    return _hash(f"{path}\n{text}")
+
+
+def _token_of(page: Page, x: str | int) -> int:
+    return _path_hash(x) if isinstance(x, str) else _text_hash(page.blocks[x][0], page.blocks[x][3])
+
+
 def _container(path: str) -> str:
     """The slot that a block lies in: its path without the last element if that's a text element."""
     head, _, last = path.rpartition(">")
     return head if re.match(r"(?:p|h[1-6]|li|b|i|em|strong|a|span|blockquote|pre|dd|dt|td)(?:\.|$)", last) else path
 
 
-TOKEN = "host string, token long, path string, parent long, pages long, vector long, mass long"
+TOKEN = "host string, token long, path string, parent long, pages long, vector long, place long"
 
 
 def _tokens(batches):
-    """A partial sum for each host and token: pages, the vector's hash, text held."""
+    """A partial sum for each host and token: pages, the vector's hash, places of its first occurrence."""
     caches.only("nodes")
     for b in batches:
         sums: dict[tuple[str, int], list] = {}
         for host, page_id, html in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            page = Page(html)
-            mass: dict[str, int] = defaultdict(int)
-            texts: dict[int, list] = {}
-            for path, _, out, text in page.blocks:
-                if not out:
-                    mass[_container(path)] += len(text)
-                t = texts.setdefault(_hash(f"{path}\n{text}"), [0, path])
-                t[0] += 1
-            rows = [(_hash(p), p, _hash(p.rpartition(">")[0]), n, mass.get(p, 0)) for p, n in page.paths.items()]
-            rows += [(h, None, _hash(p), n, 0) for h, (n, p) in texts.items()]
-            for token, path, parent, n, held in rows:
+            page, own = Page(html), f"{page_id} {_hash(html)}"
+            met: dict[int, list] = {}
+            for place, x in enumerate(page.order):
+                token = _token_of(page, x)
+                if token in met:
+                    met[token][3] += 1
+                elif isinstance(x, str):
+                    met[token] = [x, _path_hash(x.rpartition(">")[0]), place, 1]
+                else:
+                    met[token] = [None, _path_hash(page.blocks[x][0]), place, 1]
+            for token, (path, parent, place, n) in met.items():
                 s = sums.setdefault((host, token), [path, parent, 0, 0, 0])
                 s[2] += 1
-                s[3] = (s[3] + _hash(f"{page_id} {n}")) & 0xFFFFFFFFFFFFFFFF
-                s[4] += held
+                s[3] = (s[3] + _hash(f"{own} {n}")) & 0xFFFFFFFFFFFFFFFF
+                s[4] += place
         out = list(sums.items())
         columns = [[k[0] for k, _ in out], [k[1] for k, _ in out], *([v[x] for _, v in out] for x in range(5))]
         columns[5] = np.array(columns[5], np.uint64).view(np.int64) if out else []
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in TOKEN.split(", ")])
+        types = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in TOKEN.split(", ")])
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """host, n (pages), main (path of the main slot), constants (hashes of template
-    texts), classes (number of nested equivalence classes); pages: host, page_id, html."""
-    common.prepare(pages.sparkSession)
-    # sums of hashes wrap: they are added as decimals and taken modulo 2^64
+def classes_of(pages: DataFrame, hosts: DataFrame, total: int) -> DataFrame:
+    """host, n, vector, pages, tokens (in the class's order) of the candidates; hosts: host, n."""
     partial = pages.select("host", "page_id", "html").mapInArrow(_tokens, TOKEN)
-    summed = partial.groupBy("host", "token").agg(
-        F.first("path").alias("path"), F.first("parent").alias("parent"), F.sum("pages").alias("pages"), (F.sum(F.col("vector").cast("decimal(38,0)")) % F.lit("18446744073709551616").cast("decimal(38,0)")).alias("vector"), F.sum("mass").alias("mass")
-    )
-    counts = pages.groupBy("host").agg(F.count("*").alias("n"))
-    counts = common.materialise(counts, "hosts")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # sums of hashes wrap: they are added as decimals, taken modulo 2^64 and moved into a long's range
+    whole = F.sum(F.col("vector").cast("decimal(38,0)"))
+    vector = (F.pmod(whole, F.lit("18446744073709551616").cast("decimal(38,0)")) - F.lit("9223372036854775808").cast("decimal(38,0)")).cast("long")
+    summed = partial.groupBy("host", "token").agg(F.first("path").alias("path"), F.first("parent").alias("parent"), F.sum("pages").alias("pages"), vector.alias("vector"), F.sum("place").alias("place"))
     # most tokens are texts of one page; a large host's others aren't gathered in one task
-    frequent = common.attach(summed.where("pages > 1"), counts, "host", "n", total).where(F.col("pages") >= SUPPORT * F.col("n"))
-    frequent = common.materialise(frequent, "tokens")
-    # one class for each vector; a class nests if its tokens' parents are frequent too (roots have none)
-    parents = frequent.where("path is not null").select("host", F.col("token").alias("parent")).withColumn("nested", F.lit(True))
-    root = _hash("")
-    nested = frequent.join(parents, ["host", "parent"], "left").where(F.col("nested") | (F.col("parent") == root))
-    classes = nested.groupBy("host", "n", "vector", "pages").agg(
-        F.max(F.when(F.col("path").isNotNull(), F.struct("mass", "path"))).alias("slot"), F.collect_list(F.when(F.col("path").isNull(), F.col("token"))).alias("texts"), F.count("*").alias("size")
-    )
-    constant = (F.col("pages") >= CONSTANT * F.col("n")) & (F.col("n") >= LEAST_PAGES)
-    return classes.groupBy("host", "n").agg(
-        F.max("slot").getField("path").alias("main"), F.flatten(F.collect_list(F.when(constant, F.col("texts")))).alias("constants"), F.count("*").alias("classes")
+    frequent = common.attach(summed.where(F.col("pages") >= LEAST_PAGES), hosts, "host", "n", total).where(F.col("pages") >= SUPPORT * F.col("n"))
+    tokens = F.array_sort(F.collect_list(F.struct("place", "token", "parent", "path")))
+    return common.materialise(frequent.groupBy("host", "n", "vector", "pages").agg(tokens.alias("tokens")).where(F.size("tokens") >= SIZE), "classes")
+
+
+class Classes:
+    """The candidates of a host, as a page is held against them."""
+
+    def __init__(self, cell: list[dict] | None):
+        cell = sorted(cell or (), key=lambda x: (x["pages"], len(x["tokens"]), x["vector"]))
+        #: Of each class, in the order of their weight: its number in the table, its size.
+        self.vectors = [x["vector"] for x in cell]
+        self.sizes = [len(x["tokens"]) for x in cell]
+        self.places = {token: (c, k) for c, x in enumerate(cell) for k, token in enumerate(x["tokens"])}
+
+    def faults(self, tokens: list[int]) -> set[int]:
+        """Classes that aren't ordered on a page, or cross a weightier one."""
+        bad: set[int] = set()
+        upto = [0] * len(self.sizes)
+        open_: list[int] = []
+        for token in tokens:
+            if (found := self.places.get(token)) is None or found[0] in bad:
+                continue
+            c, k = found
+            if k != upto[c]:
+                bad.add(c)
+            elif k == 0:
+                open_.append(c)
+            else:
+                while c not in bad and open_[-1] != c:  # unfinished ones that began inside c
+                    bad.add(min(c, open_[-1]))
+                    open_ = [x for x in open_ if x not in bad]
+            if c in bad:
+                open_ = [x for x in open_ if x != c]
+                continue
+            upto[c] = (k + 1) % self.sizes[c]
+            if upto[c] == 0:
+                open_.pop()
+        return bad.union(open_)
+
+
+FOUND = "host string, vector long, slot long, value long"
+
+
+def _judge(batches, call: str):
+    """Pages on which classes don't hold, and text that no class holds by the slot it stands in."""
+    caches.only("nodes")
+    for b in batches:
+        sums: dict[tuple, int] = defaultdict(int)
+        cells = b.column(2)
+        for at, (host, html) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            known = _of_host(call, host, cells, at, Classes)
+            if not known.places:
+                continue
+            page = Page(html)
+            tokens = [_token_of(page, x) for x in page.order]
+            for c in known.faults(tokens):
+                sums[host, known.vectors[c], None] += 1
+            for x, token in zip(page.order, tokens, strict=True):
+                if isinstance(x, int) and not page.blocks[x][2] and token not in known.places:
+                    slot = _container(page.blocks[x][0])
+                    while slot and _path_hash(slot) not in known.places:
+                        slot = slot.rpartition(">")[0]
+                    sums[host, None, _path_hash(slot)] += len(page.blocks[x][3])
+        columns = [[k[0] for k in sums], [k[1] for k in sums], [k[2] for k in sums], list(sums.values())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in FOUND.split(", ")])
+
+
+def _beside(rows: DataFrame, known: DataFrame, weight: Column, total: int) -> DataFrame:
+    """rows with the columns of their host, if any; known: host, n, ... of some hosts."""
+    if known.agg(F.coalesce(F.sum(weight + 64), F.lit(0))).first()[0] <= common.BROADCAST_BYTES:
+        return rows.join(F.broadcast(known.drop("n")), "host", "left")
+    every = rows.groupBy("host").agg(F.count("*").alias("n")).join(known.drop("n"), "host", "left")
+    return common.attach(rows, every, "host", "n", total).drop("n")
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """host, n (pages), main (path of the main slot), constants (hashes of template texts), twins (those
+    whose element is of their class), classes (number of valid ones) of hosts that have
+    a template; pages: host, page_id, html."""
+    common.prepare(pages.sparkSession)
+    hosts = common.materialise(pages.groupBy("host").agg(F.count("*").alias("n")), "hosts")
+    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    classes = classes_of(pages, hosts, total)
+    cells = classes.groupBy("host", "n").agg(F.collect_list(F.struct("vector", "pages", F.col("tokens.token").alias("tokens"))).alias("cell"))
+    weight = F.aggregate("cell", F.lit(0).cast("long"), lambda acc, x: acc + 8 * F.size(x["tokens"]) + 24)
+    call = uuid.uuid4().hex
+    held = _beside(pages.select("host", "html"), common.materialise(cells, "class-cells"), weight, total).where("cell is not null").select("host", "html", "cell")
+    found = common.materialise(held.mapInArrow(lambda x: _judge(x, call), FOUND).groupBy("host", "vector", "slot").agg(F.sum("value").alias("value")), "judged")
+    faults = found.where("vector is not null").select("host", "vector", F.col("value").alias("faults"))
+    valid = classes.join(faults, ["host", "vector"], "left").where(F.coalesce("faults", F.lit(0)) <= (1 - VALID) * F.col("pages"))
+    valid = common.materialise(valid.drop("faults"), "valid-classes")
+    elements = valid.select("host", F.explode(F.filter("tokens", lambda x: x["path"].isNotNull())).alias("x")).select("host", F.col("x.token").alias("slot"), F.col("x.path").alias("path"))
+    mains = found.where("slot is not null").join(elements, ["host", "slot"]).groupBy("host").agg(F.max(F.struct("value", "path")).getField("path").alias("main"))
+    texts = F.filter("tokens", lambda x: x["path"].isNull())
+    own = F.transform(F.filter("tokens", lambda x: x["path"].isNotNull()), lambda x: x["token"])
+    parts = valid.select(
+        "host", "n",
+        F.when(F.col("pages") >= CONSTANT * F.col("n"), F.transform(texts, lambda x: x["token"])).alias("constants"),
+        F.transform(F.filter(texts, lambda x: F.array_contains(own, x["parent"])), lambda x: x["token"]).alias("twins"),
     )
+    summed = parts.groupBy("host", "n").agg(F.flatten(F.collect_list("constants")).alias("constants"), F.flatten(F.collect_list("twins")).alias("twins"), F.count("*").alias("classes"))
+    return summed.join(mains, "host", "left").select("host", "n", "main", "constants", "twins", "classes")
 
 
-def text_of(html: str, main: str | None, constants: frozenset[int]) -> str:
+def text_of(html: str, main: str | None, constants: frozenset[int], twins: frozenset[int] = frozenset()) -> str:
     page = Page(html)
     blocks = [x for x in page.blocks if not x[2]]
     if any(x[1] for x in blocks):
-        return "\n".join(text for _, article, _, text in blocks if article)
-    blocks = [x for x in blocks if not constants or _hash(f"{x[0]}\n{x[3]}") not in constants]
+        return "\n".join(text for path, article, _, text in blocks if article and not (twins and _text_hash(path, text) in twins))
+    blocks = [x for x in blocks if not constants or _text_hash(x[0], x[3]) not in constants]
     if main and (inside := [x for x in blocks if x[0] == main or x[0].startswith(main + ">")]):
         blocks = inside
     return "\n".join(text for *_, text in blocks)
 
 
-def _extract(batches):
+def _template(cell: dict | None) -> tuple:
+    cell = cell or {}
+    return cell.get("main"), frozenset(cell.get("constants") or ()), frozenset(cell.get("twins") or ())
+
+
+def _extract(batches, call: str):
+    caches.only("nodes")
     for b in batches:
-        texts = [text_of(html, main, frozenset(constants or ())) for html, main, constants in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+        cells = b.column(4)
+        texts = [text_of(html, *_of_host(call, host, cells, at, _template)) for at, (html, host) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True))]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -276,13 +411,13 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), common.text_of("html").alias("html")).withColumn("host", host_of(F.col("url")))
-    known = common.materialise(templates(rows).select("host", "n", "main", "constants"), "templates")
-    size, n = known.agg(F.coalesce(F.sum(F.length("host") + F.coalesce(F.length("main"), F.lit(0)) + 8 * F.greatest(F.size("constants"), F.lit(0)) + 64), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    if size <= common.BROADCAST_BYTES:
-        held = rows.join(F.broadcast(known.drop("n")), "host", "left")
-    else:
-        held = common.attach(rows, rows.groupBy("host").agg(F.count("*").alias("n")).join(known.drop("n"), "host", "left"), "host", "n", n)
-    return held.select("page_id", "url", "html", "main", "constants").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    cell = F.struct("main", "constants", "twins").alias("cell")
+    known = common.materialise(templates(rows).select("host", "n", cell), "templates")
+    n = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    weight = F.coalesce(F.length("cell.main"), F.lit(0)) + 8 * (F.size("cell.constants") + F.size("cell.twins"))
+    call = uuid.uuid4().hex
+    held = _beside(rows, known, weight, n).select("page_id", "url", "html", "host", "cell")
+    return held.mapInArrow(lambda x: _extract(x, call), "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
