@@ -7,7 +7,9 @@ row-group filters.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import fnv_partition, message_bytes
@@ -16,13 +18,13 @@ from . import prefix
 
 
 def routed(messages: DataFrame, n: int = 4) -> DataFrame:
-    """messages with ``partition`` by FNV-1a of the key; n <= 0 means 1."""
-    return messages.withColumn("partition", fnv_partition(F.col("key"), n))
+    """messages with ``partition`` by FNV-1a of the key; n <= 0 means 1. No key is the empty one."""
+    return messages.withColumn("partition", fnv_partition(F.coalesce("key", F.lit("")), n))
 
 
 def assign_offsets(messages: DataFrame, base: Column | None = None) -> DataFrame:
     """messages (topic, partition, timestamp, seq, ...) with ``offset``."""
-    return prefix.numbered(messages, ["topic", "partition"], prefix.day("timestamp"), ["timestamp", "seq"], "offset", base)
+    return prefix.numbered(messages, ["topic", "partition"], prefix.hour("timestamp"), ["timestamp", "seq"], "offset", base)
 
 
 def read(log: DataFrame, topic: str, partition: int, offset: int, most: int = AUTO_MESSAGES) -> DataFrame:
@@ -51,8 +53,8 @@ def chunks(log: DataFrame, offset: int, most: int = AUTO_MESSAGES) -> DataFrame:
     most = most if most > 0 else AUTO_MESSAGES
     rows = log.where(F.col("offset") >= max(offset, 0)).withColumn("chunk", F.floor((F.col("offset") - offset) / most))
     sent = rows.groupBy("topic", "partition", "chunk").agg(F.count("*").alias("messages"), F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset"))
-    ends = F.max("last_offset").over(Window.partitionBy("topic", "partition"))
-    return sent.withColumn("has_more", F.col("last_offset") < ends)
+    ends = rows.groupBy("topic", "partition").agg(F.max("offset").alias("_end"))
+    return sent.join(ends, ["topic", "partition"]).withColumn("has_more", F.col("last_offset") < F.col("_end")).drop("_end")
 
 
 def info(log: DataFrame, partitions: DataFrame) -> DataFrame:
@@ -63,12 +65,25 @@ def info(log: DataFrame, partitions: DataFrame) -> DataFrame:
 
 
 def produce_results(messages: DataFrame, live: list[int]) -> DataFrame:
-    """idx, partition, offset, error for each message (idx, ...); a message for a
+    """idx, partition, offset, error for each message (idx, ...) of a log in its order; a message for a
     partition that isn't live gets -1, -1 and the error, and the others go on."""
+    return _answered(messages, live, assign_offsets).select("idx", "partition", "offset", "error")
+
+
+def appended(messages: DataFrame, live: list[int], next_offsets: dict[int, int]) -> DataFrame:
+    """messages (idx, ...) with offset and error as a producer's request is answered: in the
+    order of idx, from each live partition's next offset on."""
+    base = F.lit(0)
+    for p, n in next_offsets.items():
+        base = F.when(F.col("partition") == p, F.lit(n)).otherwise(base)
+    return _answered(messages, live, lambda rows: prefix.numbered(rows, ["topic", "partition"], prefix.part("idx"), ["idx"], "offset", base))
+
+
+def _answered(messages: DataFrame, live: list[int], number: Callable[[DataFrame], DataFrame]) -> DataFrame:
     alive = F.col("partition").isin(list(live)) if live else F.lit(False)
-    done = assign_offsets(messages.where(alive)).select("idx", "partition", "offset", F.lit("").alias("error"))
+    done = number(messages.where(alive)).withColumn("error", F.lit(""))
     error = F.format_string("partition %d does not exist", "partition")
-    failed = messages.where(~alive).select("idx", F.lit(-1).alias("partition"), F.lit(-1).cast("long").alias("offset"), error.alias("error"))
+    failed = messages.where(~alive).withColumns({"error": error, "offset": F.lit(-1).cast("long")}).withColumn("partition", F.lit(-1))
     return done.unionByName(failed)
 
 

@@ -15,7 +15,7 @@ _UPTO = (Window.unboundedPreceding, -1)
 def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list, out: str, base: Column | None = None) -> DataFrame:
     """``out``: 0, 1, ... for each key by bucket, then order; plus ``base`` if given.
 
-    ``bucket`` must not decrease along ``order``."""
+    ``bucket`` must not decrease along ``order``; neither it nor keys may be null."""
     held = df.withColumn("_bucket", bucket)
     counts = held.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(*_UPTO)), F.lit(0))
@@ -25,6 +25,12 @@ def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list, out: s
     return held.withColumn("_place", place).join(counts, [*keys, "_bucket"]).withColumn(out, number.cast("long")).drop("_bucket", "_place", "_before")
 
 
-def day(ts: str) -> Column:
-    """The bucket of most queries: the timestamp's day."""
-    return F.to_date(ts)
+def hour(ts: str) -> Column:
+    """The bucket of most queries: the timestamp's hour, as a number that doesn't fall when
+    clocks are set back. No timestamp is the first bucket, as nulls come first in an order."""
+    return F.coalesce(F.unix_date(F.to_date(ts)) * 24 + F.hour(ts), F.lit(-(1 << 31)))
+
+
+def part(number: str, rows: int = 1 << 16) -> Column:
+    """The bucket of rows that are numbered already, with gaps or without."""
+    return F.coalesce(F.floor(F.col(number) / rows), F.lit(-(1 << 63)).cast("long"))
