@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import queries, streams
+from .plans import queries, stores, streams
 
-QUERIES: dict = queries.QUERIES | streams.QUERIES
-ORACLES: dict[str, str] = queries.ORACLES | streams.ORACLES
+QUERIES: dict = queries.QUERIES | streams.QUERIES | stores.QUERIES
+ORACLES: dict[str, str] = queries.ORACLES | streams.ORACLES | stores.ORACLES

@@ -144,6 +144,14 @@ def assign_offsets(spark, d):
     return logged(spark, d).select(F.col("seq").alias("event_id"), "topic", "partition", "offset")
 
 
+@query(f"""WITH {EV}, z AS (SELECT event_id, topic, "partition", CASE WHEN event_id % 7 <> 0 THEN ts END AS ts FROM ev)
+SELECT event_id, topic, "partition", row_number() OVER (PARTITION BY topic, "partition" ORDER BY ts NULLS FIRST, event_id) - 1 AS "offset" FROM z""")
+def assign_offsets_nulls(spark, d):
+    """Every seventh message has no time: these come first."""
+    rows = routed(spark, d).withColumn("timestamp", F.when(F.col("seq") % 7 != 0, F.col("timestamp")))
+    return log.assign_offsets(rows).select(F.col("seq").alias("event_id"), "topic", "partition", "offset")
+
+
 @query(f"""WITH o AS (SELECT o_orderkey, o_orderdate, ({_fnv("'order-' || o_orderkey")} % 4)::INT AS "partition" FROM orders)
 SELECT o_orderkey, "partition", row_number() OVER (PARTITION BY "partition" ORDER BY o_orderdate, o_orderkey) - 1 AS "offset" FROM o""")
 def order_offsets(spark, d):
@@ -194,13 +202,12 @@ def topic_info(spark, d):
     return log.info(logged(spark, d), live(spark, d).unionByName(none))
 
 
-@query(f"""WITH {LOG} SELECT event_id, '{{"key":"' || key || '","value":"' || to_base64(value::BLOB) || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","offset":' || "offset" || '}}' AS record FROM log WHERE topic = 'ev-click'""")
+@query(f"""WITH {LOG} SELECT event_id, '{{"key":"' || key || '","value":"' || to_base64(value::BLOB) || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') || '","offset":' || "offset" || '}}' AS record FROM log""")
 def persisted_json(spark, d):
-    rows = logged(spark, d).where("topic = 'ev-click'")
-    return rows.select(F.col("seq").alias("event_id"), codec.persisted_json(F.col("key"), F.col("value"), F.col("timestamp"), F.col("offset")).alias("record"))
+    return logged(spark, d).select(F.col("seq").alias("event_id"), codec.persisted_json(F.col("key"), F.col("value"), F.col("timestamp"), F.col("offset")).alias("record"))
 
 
-@query(f"""WITH {LOG} SELECT event_id, key, value, "offset" FROM log WHERE topic = 'ev-click' AND event_id % 5 <> 0""")
+@query(f"""WITH {LOG} SELECT event_id, key, value, "offset" FROM log WHERE event_id % 5 <> 0""")
 def read_persisted_json(spark, d):
     """Records read back; every fifth is cut short and left out as corrupt."""
     rows = persisted_json(spark, d).withColumn("record", F.when(F.col("event_id") % 5 == 0, F.left("record", F.lit(20))).otherwise(F.col("record")))
@@ -408,6 +415,32 @@ def kv_creations(spark, d):
     return kv.creations(_writes(routed(spark, d)))
 
 
+@query(f"""WITH {KV}, b AS (SELECT w.*, expires - INTERVAL 2 DAY AS put_at, lag(value) OVER k AS before, lag(expires) OVER k AS until FROM w WINDOW k AS (PARTITION BY key ORDER BY revision))
+SELECT key, value, revision FROM b WHERE value IS NOT NULL AND (before IS NULL OR until <= put_at)""")
+def kv_elections(spark, d):
+    """Puts that found their key free or its lease run out at the time."""
+    return kv.elections(_writes(routed(spark, d)).withColumn("at", F.col("expires") - F.expr("interval 2 days")))
+
+
+@query(f"""WITH {KV} SELECT revision, key, CASE WHEN value IS NULL THEN 'delete' ELSE 'put' END AS kind, value FROM w WHERE starts_with(key, '/leader/ev-e') AND revision > 100""")
+def kv_watch(spark, d):
+    return kv.watch(_writes(routed(spark, d)), "/leader/ev-e", 100)
+
+
+@query("""WITH e AS (SELECT user_id AS lease, event_id AS revision, ts AS seen, CASE WHEN event_type = 'error' AND user_id % 10 = 0 THEN 'revoke' WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 'grant' ELSE 'keepalive' END AS kind FROM events),
+o AS (SELECT *, seen + INTERVAL 12 HOUR AS until FROM e WHERE kind <> 'revoke'),
+l AS (SELECT *, coalesce(kind = 'keepalive' AND lag(until) OVER k <= seen, false)::INT AS late FROM o WINDOW k AS (PARTITION BY lease ORDER BY revision)),
+a AS (SELECT *, sum(late) OVER (PARTITION BY lease ORDER BY revision ROWS UNBOUNDED PRECEDING) AS dead FROM l)
+SELECT lease, max(until) AS expires FROM a WHERE dead = 0 AND lease NOT IN (SELECT lease FROM e WHERE kind = 'revoke') GROUP BY 1""")
+def kv_leases(spark, d):
+    """A user's first event is a lease of twelve hours, later ones keep it alive; an error of each tenth user revokes it."""
+    events = tables.table(spark, d, "events")
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) == 1
+    kind = F.when((F.col("event_type") == "error") & (F.col("user_id") % 10 == 0), "revoke").when(first, "grant").otherwise("keepalive")
+    rows = events.select(F.col("user_id").alias("lease"), F.col("event_id").alias("revision"), F.col("ts").alias("at"), kind.alias("kind"), F.lit(43_200).alias("ttl_s"))
+    return kv.leases(rows)
+
+
 # -- batching
 
 
