@@ -29,19 +29,27 @@ def use_rocksdb(spark: SparkSession) -> None:
 def source(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """A stream of a folder's (or file's) Parquet rows, so many files at a time.
 
-    The path is given as a pattern, since a stream's plain path must be a folder."""
+    The path is given as a pattern that only it matches, since a stream's plain path must be a folder."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path}*")
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/[{name[0]}]{name[1:]}")
+
+
+def read_from(messages: DataFrame, topic: str, partition: int, offset: int) -> DataFrame:
+    """A stream of a log's messages (topic, partition, offset, ...) from an offset on, then all that come."""
+    return messages.where((F.col("topic") == topic) & (F.col("partition") == partition) & (F.col("offset") >= max(offset, 0)))
 
 
 class NextOffset(StatefulProcessor):
-    """The next offset of a topic's partition; a micro-batch's rows are taken in order."""
+    """The next offset of a topic's partition; a micro-batch's rows are taken in order.
+
+    Times and numbers of one key's rows in one micro-batch are held, which the source's files a trigger bound."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.next = handle.getValueState("next", "offset long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = pd.concat(list(rows))[["timestamp", "seq"]].sort_values(["timestamp", "seq"], kind="stable")
+        held = pd.concat([x[["timestamp", "seq"]] for x in rows]).sort_values(["timestamp", "seq"], kind="stable")
         first = self.next.get()[0] if self.next.exists() else 0
         self.next.update((first + len(held),))
         yield pd.DataFrame({"topic": key[0], "partition": key[1], "seq": held["seq"].to_numpy(), "offset": range(first, first + len(held))})

@@ -1,12 +1,13 @@
 """The log, its store and its clients."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomlog.client import BatchProducer, Engine, GroupCoordinator, HealthMonitor, PartitionManager, read_range
-from loomlog.operators import batching, groups, log, offsets
+from loomlog.operators import batching, groups, kv, log, offsets
 from loomlog.sources.store import LogStore, StoreError
 
 MESSAGES = "topic string, partition int, key string, timestamp timestamp, seq long"
@@ -220,3 +221,140 @@ def test_batches_by_bytes_equal_a_plain_fold(spark):
         got = [(r.messages, r.bytes) for r in batching.by_bytes(rows, 4, 10).where(F.col("topic") == topic).orderBy("batch").collect()]
         assert got == want
     assert batching.by_bytes(rows.where("false")).count() == 0
+
+
+def test_messages_without_a_time_keep_their_offsets(spark):
+    at = dt.datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("t", 0, f"k{k}", None if k % 3 else at, k) for k in range(9)], MESSAGES)
+    assert {r.seq: r.offset for r in log.assign_offsets(rows).collect()} == {1: 0, 2: 1, 4: 2, 5: 3, 7: 4, 8: 5, 0: 6, 3: 7, 6: 8}
+    assert log.produce_results(rows.withColumn("idx", F.col("seq")), [0]).count() == 9
+    sized = rows.withColumn("size", F.lit(1))
+    assert sum(r.messages for r in batching.by_count(sized, 4).collect()) == 9
+
+
+def test_offsets_are_in_the_order_of_input(spark, tmp_path):
+    store = LogStore(spark, f"file://{tmp_path}/order")
+    at = dt.datetime(2024, 1, 1)
+    rows = [(k, "", b"%d" % k, at - dt.timedelta(days=k)) for k in range(20)] + [(20, None, None, None)]
+    given = spark.createDataFrame(rows, "idx long, key string, value binary, timestamp timestamp").repartition(3)
+    assert [(r.idx, r.offset) for r in store.produce("t", given).collect()] == [(k, k) for k in range(21)]
+    held = store.consume("t", 0, 0).collect()
+    assert [r.value for r in held] == [b"%d" % k for k in range(20)] + [b""] and held[-1].timestamp is not None
+
+
+def test_next_offsets_survive_a_writer_that_died(spark, tmp_path):
+    store = LogStore(spark, f"file://{tmp_path}/died")
+    send = lambda n: store.produce("t", spark.range(n).selectExpr("id as idx", "'' as key", "cast('v' as binary) as value", "cast(null as timestamp) as timestamp"))
+    send(5)
+    store._put_next = lambda *_: None  # messages written, and then no more
+    send(3)
+    again = LogStore(spark, store.path)
+    again.produce("t", spark.range(1).selectExpr("id as idx", "'' as key", "cast('v' as binary) as value", "cast(null as timestamp) as timestamp"))
+    assert [r.offset for r in again.consume("t", 0, 0).collect()] == list(range(9))
+    again.remove_partition("t", 0)
+    again.add_partition("t", 0)
+    again.produce("t", spark.range(2).selectExpr("id as idx", "'' as key", "cast('v' as binary) as value", "cast(null as timestamp) as timestamp"))
+    assert [r.offset for r in again.consume("t", 0, 0).collect()] == [0, 1]
+
+
+def test_a_hot_partition_is_written_by_many_tasks(spark, tmp_path):
+    store = LogStore(spark, f"file://{tmp_path}/hot")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.produce("t", spark.range(4000).selectExpr("id as idx", "'' as key", "cast('v' as binary) as value", "cast(null as timestamp) as timestamp"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = store.messages().where("partition = 0").select(F.input_file_name().alias("f")).distinct().count()
+    assert files > 1 and store.messages().agg(F.countDistinct("offset"), F.max("offset")).first() == (4000, 3999)
+
+
+def test_deleted_groups_may_commit_again(spark, tmp_path):
+    store = LogStore(spark, f"file://{tmp_path}/groups")
+    commit = lambda g, n: store.commit(spark.createDataFrame([(g, "t", 0, n)], "consumer_group string, topic string, partition int, offset long"))
+    commit("g", 5), commit("h", 6), store.delete_group("g")
+    assert (store.committed("g", "t", 0), store.committed("h", "t", 0)) == (0, 6)
+    commit("g", 2)
+    assert store.committed("g", "t", 0) == 2 and store.commits().count() == 2
+
+
+def test_elections_after_a_leases_end(spark):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [("k", "a", 1, at(0), at(2)), ("k", "a", 2, at(1), at(3)), ("k", "b", 3, at(2), at(4)), ("k", "c", 4, at(4), at(6)), ("k", None, 5, at(5), None), ("k", "d", 6, at(5), None), ("k", "e", 7, at(99), at(100))]
+    writes = spark.createDataFrame(rows, "key string, value string, revision long, at timestamp, expires timestamp")
+    assert [(r.value, r.revision) for r in kv.elections(writes).orderBy("revision").collect()] == [("a", 1), ("c", 4), ("d", 6)]
+    assert [(r.revision, r.kind) for r in kv.watch(writes, "k", 3).orderBy("revision").collect()] == [(4, "put"), (5, "delete"), (6, "put"), (7, "put")]
+    events = [(1, "grant", at(0), 1, 3600), (1, "keepalive", at(0.5), 2, 3600), (1, "keepalive", at(2), 3, 3600), (2, "grant", at(0), 4, 60), (2, "revoke", at(0.1), 5, 60)]
+    held = kv.leases(spark.createDataFrame(events, "lease long, kind string, at timestamp, revision long, ttl_s int")).collect()
+    assert [(r.lease, r.expires) for r in held] == [(1, at(1.5))]
+
+
+def test_auto_commit_follow_and_metrics(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}/auto")
+    engine.producer().send("t", [("", b"%d" % k) for k in range(6)])
+    reader = engine.managed_consumer("g", auto_commit=True, interval_s=0.05)
+    reader.consume_from_committed("t", 0, 4)
+    for _ in range(300):
+        if reader.committed_count:
+            break
+        time.sleep(0.1)
+    assert engine.store.committed("g", "t", 0) == 4
+    reader.consume_from("t", 0, 4, 2)
+    reader.close()
+    assert engine.store.committed("g", "t", 0) == 6
+    with pytest.raises(StoreError):
+        reader.consume_from("t", 9, 0)
+    assert reader.metrics() == {"messages_received": 6, "offsets_committed": 2, "errors": 1}
+    seen, consumer = [], engine.consumer()
+
+    def take(row):
+        seen.append(row.offset)
+        if row.offset == 5:
+            engine.producer().send("t", [("", b"more")])
+
+    assert consumer.follow("t", 0, 2, take, lambda: len(seen) >= 5, 2) == 7 and seen == [2, 3, 4, 5, 6]
+    assert consumer.metrics() == {"messages_received": 5, "errors": 0}
+    consumer.close()
+    with pytest.raises(StoreError, match="consumer is closed"):
+        consumer.consume("t", 0, 0)
+
+
+def test_stale_batches_go_out_by_themselves():
+    sent = []
+    p = BatchProducer(lambda t, m: sent.append((t, len(m))), timeout_s=0.02).start()
+    p.add("t", "k", b"v")
+    for _ in range(200):
+        if sent:
+            break
+        time.sleep(0.01)
+    assert sent == [("t", 1)]
+    p.timeout_s = 60
+    p.add("t", "k", b"v")
+    p.close()
+    assert sent == [("t", 1), ("t", 1)] and p.ticker is None
+
+
+def test_health_checks_have_a_timeout_and_an_interval():
+    monitor = HealthMonitor(interval_s=0.02, timeout_s=0.05)
+    monitor.register("slow", lambda: time.sleep(1))
+    assert monitor.health()["components"]["slow"][0] == "unhealthy"
+    monitor.checks = {"good": lambda: ("healthy", {})}
+    monitor.start()
+    for _ in range(200):
+        if monitor.last["overall"] == "healthy":
+            break
+        time.sleep(0.01)
+    monitor.stop()
+    assert monitor.last["overall"] == "healthy"
+
+
+def test_batches_by_bytes_of_many_messages(spark):
+    sizes = [(k * 7919) % 23 for k in range(30_000)]
+    rows = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "seq long, size long").selectExpr("'t' as topic", "timestamp'2024-01-01' as timestamp", "*")
+    want, count, size = [], 0, 0
+    for n in sizes:
+        if count and (count >= 9 or size + n > 60):
+            want.append((count, size))
+            count = size = 0
+        count, size = count + 1, size + n
+    want.append((count, size))
+    assert [(r.messages, r.bytes) for r in batching.by_bytes(rows, 9, 60).orderBy("batch").collect()] == want

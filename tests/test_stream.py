@@ -61,3 +61,11 @@ def test_sessions(spark):
     got = sorted((r.start.minute, r.events) for r in windows.sessions(rows, "10 minutes", ["user"]).collect())
     assert got == [(0, 2), (30, 2)]
     assert windows.sessions(rows.where(F.lit(False)), "10 minutes", ["user"]).count() == 0
+
+
+def test_siblings_of_a_path_are_not_read(spark, tmp_path):
+    source, out = f"file://{tmp_path}/in", f"file://{tmp_path}/out"
+    _batch(spark, source, 0, 6)
+    _batch(spark, f"{source}_old", 6, 5)
+    got = streams.finish(streams.read_from(streams.source(spark, source).withColumnRenamed("seq", "offset"), "t", 0, 2), out)
+    assert sorted(r.offset for r in got.collect()) == [2, 4]
