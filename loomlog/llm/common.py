@@ -70,15 +70,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_shared(spark: SparkSession) -> int:
-    """Remove what this process has written to the shared folder, and count it.
+def made() -> int:
+    """How many folders this process has written so far, for ``clear_shared``."""
+    return len(_made)
 
-    For the end of a job: results that aren't written down yet read from there."""
-    jvm, n = spark.sparkContext._jvm, len(_made)
-    while _made:
-        p = jvm.org.apache.hadoop.fs.Path(_made.pop())
+
+def clear_shared(spark: SparkSession, since: int = 0, but_last: bool = False) -> int:
+    """Remove what this process has written to the shared folder since ``made()`` was so
+    many (but for the last folder), and count it.
+
+    For the end of a job or stage: results that aren't written down yet read from there."""
+    jvm, gone = spark.sparkContext._jvm, _made[since : len(_made) - but_last]
+    del _made[since : len(_made) - but_last]
+    for path in gone:
+        p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    return n
+    return len(gone)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

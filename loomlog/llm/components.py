@@ -25,13 +25,13 @@ def _state(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links: a, b (longs). node, component (its least node) of every node that has a link."""
     held = common.materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     state = _state(held)
     if not state[0]:
         return held.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    for _ in range(rounds):
+    while True:  # labels only fall, so it ends
         both = held.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(held.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _linked(both, 2 * state[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = common.materialise(large, "links")
@@ -42,7 +42,5 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         last, state = state, _state(held)
         if state == last:
             break
-    else:
-        raise RuntimeError("components have not settled")
     roots = held.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return held.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -62,7 +62,7 @@ def _tokens(df: DataFrame) -> DataFrame:
             F.when(token.isin(*_END), F.lit(""))
             .when(token < ":", F.lit(NUMBER))
             .when((last >= "0") & (last < ":") & low.isin(*UNITS), F.lit(UNIT))
-            .when((low != token) & ~last.isin(*_END) & (F.length(token) > 1) & (F.substring(token, 2, 99) == F.substring(low, 2, 99)), F.lit(NAME))
+            .when((low != token) & ~last.isin(*_END) & (F.length(token) > 1) & (F.substr(token, F.lit(2)) == F.substr(low, F.lit(2))), F.lit(NAME))
             .otherwise(low)
         )
 

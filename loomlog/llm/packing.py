@@ -20,7 +20,8 @@ queue, which gets what the targets leave, or comes last. At most ``MOST_QUEUES``
 largest, have queues of their own; the others' packets share one.
 
 Running sums are taken in two steps (within a block, over the blocks' totals), so
-that no task sorts a whole source or the whole stream.
+that no task sorts a whole source or the whole stream. One task takes the totals of all
+blocks, a row for each split of the input, or some two million tokens of the stream.
 
 Null texts count as empty (one end id); a null source is a queue of its own;
 repeated rows are packed each; an empty table gives no piece.
@@ -86,8 +87,10 @@ def queues(encoded: DataFrame, targets: Mapping[str, float] | float | None) -> l
     if isinstance(targets, Mapping):
         own = F.when(own.isin([x for x, share in targets.items() if share > 0]), own).otherwise(REST)
     totals = encoded.groupBy(own.alias("queue")).agg(F.sum("n").alias("n"))
-    held = [(r.queue, r.n) for r in totals.where(F.col("queue") != REST).orderBy(F.desc("n"), "queue").limit(MOST_QUEUES).collect()]
-    rest = (totals.agg(F.sum("n")).first()[0] or 0) - sum(n for _, n in held)
+    first = [(r.queue, r.n) for r in totals.orderBy(F.desc("n"), "queue").limit(MOST_QUEUES + 2).collect()]
+    held = [x for x in first if x[0] != REST][:MOST_QUEUES]
+    every = sum(n for _, n in first) if len(first) < MOST_QUEUES + 2 else totals.agg(F.sum("n")).first()[0]
+    rest = every - sum(n for _, n in held)
     if isinstance(targets, Mapping):
         left = max(1 - sum(x for x in targets.values() if x > 0), 1e-9)
         shares = [float(targets[q]) for q, _ in held]

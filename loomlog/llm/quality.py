@@ -14,7 +14,8 @@ doc_id, lang, source and labels are no inputs of a score.
 
 Null texts count as empty, and an empty text has a score like any other. A row with
 a null doc_id has no label and isn't held out. Labels that are null or neither 0
-nor 1 are left out; of repeated labels of a document the largest counts. Without
+nor 1 are left out; of repeated labels of a document the largest counts, and of the
+texts of a repeated doc_id the one whose features are least. Without
 labels of both kinds every score is the share of 1 among them, or 0.5. An empty table
 gives an empty result. Further columns, of any name, pass through ``scored``.
 """
@@ -38,7 +39,7 @@ THRESHOLD = 0.3
 SCORE = "__quality_score"
 
 FEATURES = (
-    "log_chars", "log_words", "word_chars", "long_words", "distinct_words", "top_word", "repeats_next",
+    "log_chars", "log_words", "word_chars", "long_words", "distinct_words", "sampled_word", "repeats_next",
     "upper", "digits", "spaces", "newlines", "stops", "commas", "exclaims", "symbols", "pipes", "quotes",
     "brackets", "non_ascii", "line_chars", "distinct_lines", "lines_ended", "capital_words", "compressed",
 )
@@ -55,7 +56,7 @@ def features(text: str) -> list[float]:
     n, w, k = max(len(raw), 1), max(len(words), 1), max(len(lines), 1)
     distinct = set(words)
     letters = max(int(seen[65:91].sum() + seen[97:123].sum()), 1)
-    # the text's most frequent word is the commonest of its first, middle and last ones, or has a small share
+    # the commonest of the first, middle and last words: where one word fills a text it's among them
     top = max((words.count(x) for x in {words[0], words[len(words) // 2], words[-1]}), default=0) if words else 0
     joined = len(raw) - int(seen[32] + seen[10] + seen[9] + seen[13])
     return [
@@ -220,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_of().alias("text")).join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
-    rows = texts.mapInArrow(_vectors, "doc_id long, x array<double>").groupBy("doc_id").agg(F.first("x").alias("x")).join(F.broadcast(known), "doc_id").select("doc_id", "x", "y").toArrow()
+    rows = texts.mapInArrow(_vectors, "doc_id long, x array<double>").groupBy("doc_id").agg(F.min("x").alias("x")).join(F.broadcast(known), "doc_id").select("doc_id", "x", "y").toArrow()
     rows = rows.sort_by("doc_id")
     x = np.array(rows["x"].to_pylist(), float).reshape(-1, len(FEATURES))
     return fit(x, rows["y"].to_numpy().astype(float))
