@@ -54,8 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the table documents."""
+    """All stages, from the table documents. What a stage has written on its way goes when its result stands."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = common.made()
         docs = common.materialise(stage(spark, docs, sf_dir), name)
+        common.clear_shared(spark, before, but_last=True)
     return STAGES[-1][1](spark, docs, sf_dir)
