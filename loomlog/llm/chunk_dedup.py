@@ -14,7 +14,8 @@ the cut before the run (and the ``SPAN`` bytes that a cut depends on) and on to
 behind it: where a repeated passage begins and ends lies between them, so each
 passage of over 50 words reaches as far. One is missed only if fewer than ``WORDS`` of
 its words lie in whole chunks of its own, some 0.1 % of those of 51 words; some of 43 to
-50 words are reported, too. Runs of ``WORDS`` words and more with one other chunk
+50 words are reported, too. A stretch of one word over and over may hold no cut, and isn't
+found then. Runs of ``WORDS`` words and more with one other chunk
 between them are one passage, with a changed word or something put in, if they hold
 over half of its reach. Scripts without white space count by ``LONG`` code points.
 
