@@ -24,3 +24,18 @@ def consumer_state(code: Column) -> Column:
 
 def throughput_verdict(rate: Column) -> Column:
     return F.when(rate >= 50_000, "EXCELLENT").when(rate >= 30_000, "GOOD").otherwise("NEEDS IMPROVEMENT")
+
+
+def metric_key(topic: Column, partition: Column) -> Column:
+    """The name that a partition's metrics are kept under."""
+    return F.concat_ws("-", topic, partition.cast("string"))
+
+
+def leader_path(topic: Column, partition: Column, root: str = "") -> Column:
+    """The key that a partition's leader holds."""
+    return F.concat_ws("/", F.lit(f"{root}/leader"), topic, partition.cast("string"))
+
+
+def load_key(worker: Column, number: Column) -> Column:
+    """The key of a load generator's message."""
+    return F.concat_ws("-", F.lit("key"), worker.cast("string"), number.cast("string"))

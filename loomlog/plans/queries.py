@@ -221,6 +221,12 @@ def storage_keys(spark, d):
     return logged(spark, d).select(F.col("seq").alias("event_id"), codec.message_key(t, p, o).alias("message_key"), codec.offset_key(t, p).alias("offset_key"))
 
 
+@query(f"""WITH {LOG} SELECT event_id, topic || '-' || "partition" AS metric_key, '/leader/' || topic || '/' || "partition" AS leader_path, 'key-' || "partition" || '-' || "offset" AS load_key FROM log""")
+def name_keys(spark, d):
+    t, p = F.col("topic"), F.col("partition")
+    return logged(spark, d).select(F.col("seq").alias("event_id"), names.metric_key(t, p).alias("metric_key"), names.leader_path(t, p).alias("leader_path"), names.load_key(p, F.col("offset")).alias("load_key"))
+
+
 # -- metrics and health
 
 
