@@ -350,6 +350,16 @@ def topics_match(spark, d):
     return spark.createDataFrame(pairs, "id long, a array<string>, b array<string>").select("id", groups.topics_match(F.col("a"), F.col("b")).alias("matches"))
 
 
+@query("""WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events), t AS (SELECT user_id, list(event_type) AS topics FROM e WHERE n <= 2 GROUP BY 1)
+SELECT a.user_id, len(a.topics) = len(b.topics) AND list_sort(list_distinct(a.topics)) = list_sort(list_distinct(b.topics)) AS matches FROM t a JOIN t b ON b.user_id = a.user_id + 1""")
+def topics_match_users(spark, d):
+    """Each user's first two event types against the next user's: as many, and the same ones."""
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) <= 2
+    topics = tables.table(spark, d, "events").withColumn("first", first).where("first").groupBy("user_id").agg(F.collect_list("event_type").alias("topics"))
+    other = topics.select((F.col("user_id") - 1).alias("user_id"), F.col("topics").alias("others"))
+    return topics.join(other, "user_id").select("user_id", groups.topics_match(F.col("topics"), F.col("others")).alias("matches"))
+
+
 @query(f"""WITH {MEMBERS}, a AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY consumer_id) - 1 AS rm, count(*) OVER (PARTITION BY group_id) AS m FROM mem),
 b AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY topic_order, "partition") - 1 AS rp FROM parts)
 SELECT b.group_id, consumer_id, topic, "partition" FROM b JOIN a ON a.group_id = b.group_id AND rp % m = rm""")

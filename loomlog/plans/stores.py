@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..client import Engine, PartitionManager
 from ..operators import log, offsets
 from ..sources import tables
 from ..sources.shared import shared_dir
 from ..sources.store import LogStore
-from .queries import EV
+from .queries import EV, _fnv
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +81,35 @@ SELECT "partition", chunk, messages, last < max(last) OVER (PARTITION BY "partit
 def store_stream_chunks(spark, d):
     store, _ = _filled(spark, d)
     return log.chunks(store.messages(), 3, 1000).select("partition", "chunk", "messages", "has_more")
+
+
+@query(f"""WITH {STORED}, s AS (SELECT event_id, event_id % 2 AS batch, CASE WHEN event_id % 2 = 0 THEN "partition" ELSE ({_fnv("key")} % 6)::INT END AS "partition" FROM ev)
+SELECT event_id AS idx, "partition", row_number() OVER (PARTITION BY "partition" ORDER BY batch, event_id) - 1 AS "offset" FROM s""")
+def store_scale(spark, d):
+    """The second batch comes when the topic has six partitions; what is stored doesn't move."""
+    store = LogStore(spark, shared_dir(spark, "store"))
+    store.create_topic(TOPIC, 4)
+    rows = tables.messages(spark, d).select(F.col("seq").alias("idx"), "key", "value", F.col("timestamp").cast("timestamp").alias("timestamp"))
+    even = store.produce(TOPIC, rows.where("idx % 2 = 0"))
+    store.scale(TOPIC, 6)
+    return even.unionByName(store.produce(TOPIC, rows.where("idx % 2 <> 0"))).select("idx", "partition", "offset")
+
+
+@query(f"""WITH {STORED}, r AS (SELECT "partition", "offset", event_id, "offset" // 20 AS turn FROM st WHERE "partition" IN (1, 3) AND "offset" < 60)
+SELECT "partition", "offset", key, turn FROM r JOIN ev USING (event_id, "partition")""")
+def client_managed(spark, d):
+    """A group's readers, a new one each turn, read twenty messages of two partitions and commit them."""
+    store, _ = _filled(spark, d)
+    engine, held = Engine(spark, store.path), []
+    for turn in range(3):
+        reader = engine.managed_consumer("g")
+        for p in (1, 3):
+            held += [(p, r.offset, r.key, turn) for r in reader.consume_from_committed(TOPIC, p, 20)]
+        reader.close()
+    return spark.createDataFrame(held, "partition int, offset long, key string, turn long")
+
+
+@query(f"""WITH {STORED} SELECT "partition" AS partition_id, count(*) AS message_count, sum(octet_length(key::BLOB) + octet_length(value::BLOB))::BIGINT AS bytes_stored FROM st GROUP BY 1""")
+def client_metrics(spark, d):
+    store, _ = _filled(spark, d)
+    return PartitionManager(Engine(spark, store.path)).metrics(TOPIC).select("partition_id", "message_count", "bytes_stored")
