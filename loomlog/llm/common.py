@@ -49,7 +49,7 @@ def prepare(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (``spark.checkpoint.dir``)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or (None if _own else spark.sparkContext.getCheckpointDir())
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")

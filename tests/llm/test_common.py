@@ -69,6 +69,7 @@ def test_local_folders_are_refused_on_a_cluster():
 
         class sparkContext:
             master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
 
     with pytest.raises(RuntimeError):
         common.shared_dir(Session, "x")
