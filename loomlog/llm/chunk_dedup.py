@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,7 +137,8 @@ def _suspects(batches, bits, passage: int):
             words = begun[ends[last]] - begun[begins[first]]
             one = _joined(first, last, words)
             words = np.bincount(one, words)[one]
-            reach = np.maximum.reduceat(reach_to[last], np.flatnonzero(np.diff(one, prepend=-1)))[one] - np.minimum.reduceat(reach_from[first], np.flatnonzero(np.diff(one, prepend=-1)))[one]
+            heads = np.flatnonzero(np.diff(one, prepend=-1))
+            reach = np.maximum.reduceat(reach_to[last], heads)[one] - np.minimum.reduceat(reach_from[first], heads)[one]
             may = (words >= WORDS) & (reach + 1 > passage) | (points[ends[last]] - points[begins[first]] >= LONG)
             if not may.any():
                 continue
@@ -230,11 +232,11 @@ def _spans(rows: pa.Table, passage: int) -> pa.RecordBatch:
     s, e, _ = ranges(new | changes(goes) | goes & changes(first_rid[origin], shift[origin]))
     keep = good[run[s]]
     s, e = s[keep], e[keep]
-    first = np.where(goes[s], origin[s], s)
-    first_doc = [(rows["first_doc_id"] if g else rows["doc_id"])[int(k)].as_py() for g, k in zip(goes[s], first, strict=True)]
-    longs = (rid[s], start[s], end[e], until[e] - before[s])
-    r, p, q, n = (pa.array(v.astype(np.int64)) for v in longs)
-    return pa.RecordBatch.from_arrays([r, rows["doc_id"].take(pa.array(s)).combine_chunks(), p, q, n, pa.array(first_doc, pa.int64()), pa.array(~goes[s])], names=[x.split()[0] for x in PASSAGES.split(", ")])
+    doc_id, first_doc_id = (rows[x].combine_chunks() for x in ("doc_id", "first_doc_id"))
+    first_doc = pc.if_else(pa.array(goes[s]), first_doc_id.take(pa.array(origin[s])), doc_id.take(pa.array(s)))
+    r, p, q, n = (pa.array(v.astype(np.int64)) for v in (rid[s], start[s], end[e], until[e] - before[s]))
+    columns = [r, doc_id.take(pa.array(s)), p, q, n, first_doc, pa.array(~goes[s])]
+    return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PASSAGES.split(", ")])
 
 
 def repeated(rows: DataFrame, passage: int = PASSAGE) -> DataFrame:
