@@ -58,11 +58,13 @@ def _tokens(df: DataFrame) -> DataFrame:
 
     def form(token: Column, last: Column) -> Column:
         low = F.lower(token)
+        # words that begin with a to z, most of them, are no names and aren't compared
+        other = (token < "a") | (token >= "{")
         return (
             F.when(token.isin(*_END), F.lit(""))
             .when(token < ":", F.lit(NUMBER))
             .when((last >= "0") & (last < ":") & low.isin(*UNITS), F.lit(UNIT))
-            .when((low != token) & ~last.isin(*_END) & (F.length(token) > 1) & (F.substr(token, F.lit(2)) == F.substr(low, F.lit(2))), F.lit(NAME))
+            .when(other & (low != token) & ~last.isin(*_END) & (F.length(token) > 1) & (F.substr(token, F.lit(2)) == F.substr(low, F.lit(2))), F.lit(NAME))
             .otherwise(low)
         )
 
